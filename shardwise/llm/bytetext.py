@@ -141,10 +141,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
             np.not_equal(run[1:], run[:-1], out=keep[1:])
             out.append(run[keep])
         elif bounds[i + 1] > bounds[i]:
-            value = np.uint64(bounds[i + 1] - bounds[i])
-            for w in words[bounds[i] : bounds[i + 1]]:
-                value = mix64(np.atleast_1d(value * _PRIME + w))[0]
-            out.append(np.array([value], dtype=np.uint64))
+            value = np.array([bounds[i + 1] - bounds[i]], dtype=np.uint64)
+            for k in range(bounds[i], bounds[i + 1]):
+                value = mix64(value * _PRIME + words[k : k + 1])
+            out.append(value)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwise.llm import bpe, hamming, langid, media, mixing, quality, secrets, url_rules
+from shardwise.llm import bpe, hamming, langid, media, mixing, near_dup, quality, repeats, secrets, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(rows, rows.where("vec_id % 50 = 0"), k=10)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near duplicates: three-word shingles, 85 % in common."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, domain) of the labelled documents: toxic, else good or low by quality."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("low")
@@ -73,17 +78,24 @@ def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that also start elsewhere, as digests."""
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe_codec,
         op2_transport_streams,
         op3_hamming_search,
+        op4_near_duplicates,
         op5_mixing_rates,
         op6_language_id,
         op7_url_verdicts,
         op8_importance_resampling,
         op9_secret_spans,
+        op10_repeated_strings,
     )
 }
 ORACLES: dict[str, str] = {
@@ -95,6 +107,22 @@ ORACLES: dict[str, str] = {
             FROM coded q, coded r WHERE q.id % 50 = 0),
         ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank, neighbor_id, distance FROM pairs)
         SELECT * FROM ranked WHERE rank <= 10""",
+    "op4_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)])
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+        classes AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+        shingles AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+        links AS (
+            SELECT a.c AS x, b.c AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(c, r) AS (SELECT c, c FROM classes UNION SELECT b.y, r.r FROM reach r JOIN sides b ON b.x = r.c WHERE r.r <= b.y),
+        roots AS (SELECT c, min(r) AS r FROM reach GROUP BY c)
+        SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(roots.r, sets.doc_id) AS component_id, sets.doc_id = coalesce(roots.r, sets.doc_id) AS kept
+        FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s AND len(sets.s) > 0 LEFT JOIN roots ON roots.c = classes.c""",
     "op7_url_verdicts": """
         WITH parts AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
