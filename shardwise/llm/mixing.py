@@ -1,12 +1,13 @@
 """Mixing sources to target weights with soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over hashed words and word endings, fitted on a table of labelled rows, gives each document
-posteriors of its domains. Each document then gets a rate of at least 0 such that the expected tokens of
+A naive Bayes classifier on whether a document has certain words and word endings, those whose frequency tells the
+domains of a table of labelled rows apart, gives each document posteriors of its domains. Each document then gets a rate of at least 0 such that the expected tokens of
 each domain, the sum of rate * tokens * posterior, meet their targets in the sense of least squares, starting
 from rate 1. Projected gradient steps use tokens as the metric, so that of all solutions the one nearest to
 rate 1 per token is approached, and documents of equal posteriors get equal rates.
 
-Scale: the classifier's counts come from at most FIT_ROWS labelled rows (least hash); it is BUCKETS numbers a domain.
+Scale: the classifier's counts come from at most FIT_ROWS labelled rows (least hash); it is at
+most MOST_FEATURES numbers a domain.
 Scoring is per row. As rates depend on posteriors alone, and posteriors are rounded to three places, tokens
 are summed by posterior first; each gradient step is then one small aggregation over at most 10^6
 rows for three domains, and the driver holds one number a domain and step. Nothing is broadcast but the classifier,
@@ -28,11 +29,16 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.storage import settled
 
+#: Slots of the table that finds a feature's place.
 BUCKETS = 1 << 14
+#: Bound of the features that the classifier uses, strongest first.
+MOST_FEATURES = 1000
 #: Bound of the sample of labelled rows.
 FIT_ROWS = 20_000
-#: Standard errors from which a bucket's frequency in a domain counts as different from its overall frequency.
-SIGNIFICANT = 4.0
+#: Standard errors, and log ratio, from which a feature counts as more frequent in a domain than overall; only such features are used.
+SIGNIFICANT, LEAST_LOG_RATIO = 6.0, 0.7
+#: Rows of overall frequency that each domain's frequencies are smoothed with.
+PRIOR_ROWS = 2.0
 STEPS = 40
 
 
@@ -42,27 +48,39 @@ def words(text: Column) -> Column:
 
 
 def features(tokens: Column) -> Column:
-    """Buckets of the words and of their last two characters."""
-    return F.concat(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), F.transform(tokens, lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(2)), F.lit(2)), F.lit(BUCKETS)).cast("int")))
+    """Hashes of the words and of their last two characters."""
+    return F.concat(F.transform(tokens, lambda w: F.xxhash64(w)), F.transform(tokens, lambda w: F.xxhash64(F.right(w, F.lit(2)), F.lit(2))))
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A constant array, written as text so that the plan stays small."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 class Classifier:
-    """Log priors by domain, and for each domain the log ratios of its significant buckets."""
+    """Naive Bayes on whether each of a few known features is in a text: `base` is a domain's log score of a text with none, `shift` what each feature adds."""
 
-    def __init__(self, priors: dict[str, float], ratios: dict[str, dict[int, float]]):
-        self.domains = sorted(priors)
-        self.priors, self.ratios = priors, ratios
+    def __init__(self, base: dict[str, float], shift: dict[str, dict[int, float]]):
+        self.domains = sorted(base)
+        self.base, self.shift = base, shift
 
     def scores(self, tokens: Column) -> list[Column]:
         """The log score of each domain, in order of their names."""
-        known = sorted({b for r in self.ratios.values() for b in r})
-        place = {b: k + 1 for k, b in enumerate(known)}
-        index = F.split(F.lit(",".join(str(place.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
-        found = F.filter(F.transform(features(tokens), lambda b: F.element_at(index, b + 1)), lambda k: k > 0)
+        slots: dict[int, int] = {}
+        for h in sorted({h for s in self.shift.values() for h in s}, key=lambda h: -max(abs(s.get(h, 0.0)) for s in self.shift.values())):
+            slots.setdefault(h % BUCKETS, h)
+        known = [0, *slots.values()]
+        place = {b: k for k, b in enumerate(slots, start=2)}
+        index, hashes = _constant([place.get(b, 1) for b in range(BUCKETS)], "int"), _constant(known, "bigint")
+
+        def at(h: Column) -> Column:
+            return F.element_at(index, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
+
+        found = F.array_distinct(F.filter(features(tokens), lambda h: F.element_at(hashes, at(h)) == h))
 
         def score(domain: str) -> Column:
-            table = F.split(F.lit(",".join(f"{self.ratios[domain].get(b, 0.0):.6f}" for b in known) or "0"), ",").cast("array<double>")
-            return F.aggregate(found, F.lit(self.priors[domain]), lambda a, k: a + F.element_at(table, k))
+            table = _constant([round(self.shift[domain].get(h, 0.0), 6) for h in known], "double")
+            return F.aggregate(found, F.lit(self.base[domain]), lambda a, h: a + F.element_at(table, at(h)))
 
         return [score(d) for d in self.domains]
 
@@ -71,25 +89,26 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on the rows of df that `labelled` (id_col, domain) names; None without any."""
     named = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).select(F.col(id_col).alias("label_id"), "domain").distinct()
     sample = named.orderBy(F.xxhash64("label_id"), "label_id", "domain").limit(FIT_ROWS)
-    rows = df.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col("label_id")).select("domain", features(words(F.col(text_col))).alias("buckets"))
-    rows = settled(rows)
+    rows = settled(df.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col("label_id")).select("domain", F.array_distinct(features(words(F.col(text_col)))).alias("features")))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    counts = settled(rows.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")))
-    totals = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-    every = sum(totals.values())
-    overall = counts.groupBy("bucket").agg(F.sum("n").alias("overall"))
-    shares = F.create_map(*(x for d, n in totals.items() for x in (F.lit(d), F.lit(n / every)))) if totals else F.lit(None).cast("map<string,double>")
-    grid = overall.withColumn("domain", F.explode(F.array(*(F.lit(d) for d in totals)) if totals else F.expr("CAST(array() AS array<string>)")))
-    expected = F.col("overall") * shares[F.col("domain")]
-    seen = F.coalesce("n", F.lit(0))
-    tested = grid.join(counts, ["domain", "bucket"], "left").where(F.abs(seen - expected) > SIGNIFICANT * F.sqrt(expected + 1))
-    rated = tested.select("domain", "bucket", F.round(F.log((seen + 1.0) / (expected + 1.0)), 6).alias("ratio")).collect()
-    ratios: dict[str, dict[int, float]] = {d: {} for d in sizes}
-    for r in rated:
-        ratios[r["domain"]][r["bucket"]] = r["ratio"]
-    return Classifier({d: math.log(n / sum(sizes.values())) for d, n in sizes.items()}, ratios)
+    every = sum(sizes.values())
+    domains = sorted(sizes)
+    seen = [F.count_if(F.col("domain") == d) for d in domains]
+    counts = rows.select("domain", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.array(*seen).alias("seen"))
+    expected = [F.col("n") * (sizes[d] / every) for d in domains]
+    tests = [(F.col("seen")[k] - e) / F.sqrt(e + 1) for k, e in enumerate(expected)]
+    apart = [F.log((F.col("seen")[k] + 0.5) / (e + 0.5)) >= LEAST_LOG_RATIO for k, e in enumerate(expected)]
+    strength = F.greatest(*(F.when(a, z).otherwise(F.lit(0.0)) for a, z in zip(apart, tests, strict=True)), F.lit(0.0))
+    picked = counts.withColumn("strength", F.round(strength, 6)).where(F.col("strength") > SIGNIFICANT).orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).collect()
+    base, shift = {}, {}
+    for k, d in enumerate(domains):
+        p = {r["feature"]: (r["seen"][k] + PRIOR_ROWS * r["n"] / every) / (sizes[d] + PRIOR_ROWS) for r in picked}
+        p = {h: min(max(x, 1e-6), 1 - 1e-6) for h, x in p.items()}
+        base[d] = math.log(sizes[d] / every) + sum(math.log1p(-x) for x in p.values())
+        shift[d] = {h: math.log(x) - math.log1p(-x) for h, x in p.items()}
+    return Classifier(base, shift)
 
 
 def memberships(df: DataFrame, classifier: Classifier | None, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,11 +164,23 @@ def fit_rates(member: DataFrame, targets: list[float], total: float | None = Non
     return steps
 
 
+def _members(df: DataFrame, labelled: DataFrame, names: list[str], id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    classifier = fit(df, labelled, id_col, text_col)
+    names = names + [d for d in (classifier.domains if classifier else []) if d not in names]
+    return settled(memberships(df, classifier, names, id_col, text_col)), names
+
+
 def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens, p array<double>, rate) of each row; `targets` has a weight for each domain, `p` follows its names in order, then other labelled domains."""
-    classifier = fit(df, labelled, id_col, text_col)
-    names = sorted(targets)
-    names += [d for d in (classifier.domains if classifier else []) if d not in targets]
-    member = settled(memberships(df, classifier, names, id_col, text_col))
-    steps = fit_rates(member, [targets.get(d, 0.0) for d in names], total)
-    return member.withColumn("rate", F.round(rate(F.col("p"), steps), 6))
+    member, names = _members(df, labelled, sorted(targets), id_col, text_col)
+    return member.withColumn("rate", F.round(rate(F.col("p"), fit_rates(member, [targets.get(d, 0.0) for d in names], total)), 6))
+
+
+def mix_like(df: DataFrame, labelled: DataFrame, domain: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `mix`, with the expected tokens of the documents that are of `domain` by majority as the targets: rates near 1 for those and near 0 for the others."""
+    member, names = _members(df, labelled, [domain], id_col, text_col)
+    p, t = F.col("p"), F.col("tokens")
+    own = member.where(p[0] >= 0.5).agg(*(F.sum(t * p[k]).alias(f"s{k}") for k in range(len(names)))).first()
+    targets = [own[f"s{k}"] or 0.0 for k in range(len(names))]
+    steps = fit_rates(member, targets, sum(targets)) if sum(targets) else []
+    return member.withColumn("rate", F.round(rate(p, steps), 6))
