@@ -2,7 +2,7 @@
 
 A code of m segments of 16 bits is listed in m tables, one by segment value. Round r probes each table with all values
 at distance exactly r from the query's segment. After round r every code within distance m * (r + 1) - 1 has been
-met: a code farther than r in all segments is at least m * (r + 1) away. So a query is finished once its kth verified
+met: a code farther than r in all segments is at least m * (r + 1) away. A query's kth distance so far bounds what later rounds return. So a query is finished once its kth verified
 distance is at most that; the others go on with the next radius. A code is kept only where it is first
 met (no segment nearer than r, no earlier segment at r), so rounds never repeat a pair.
 
@@ -29,7 +29,7 @@ SEGMENT = 16
 def sign_code(vector: Column, bits: int) -> Column:
     """Segments of the code whose bits tell which components are positive; null for a vector that has no code."""
     def segment(j: int) -> Column:
-        return F.aggregate(F.transform(F.slice(vector, j * SEGMENT + 1, SEGMENT), lambda x, i: F.when(x > 0, F.expr("1")).otherwise(F.lit(0)) * F.element_at(_POWERS(), i + 1)), F.lit(0), lambda a, b: a + b)
+        return F.aggregate(F.transform(F.slice(vector, j * SEGMENT + 1, SEGMENT), lambda x, i: F.when(x > 0, F.lit(1)).otherwise(F.lit(0)) * F.element_at(_POWERS(), i + 1)), F.lit(0), lambda a, b: a + b)
 
     return F.when(F.size(vector) == bits, F.array(*(segment(j) for j in range(-(-bits // SEGMENT)))))
 
@@ -59,26 +59,27 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, id_col:
     members = settled(coded.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     index = members.select("code", "ids", F.posexplode("code").alias("segment", "value"))
     asked = settled(queries.select(F.col(id_col).alias("query_id"), sign_code(F.col(vector_col), bits).alias("query")).where("query IS NOT NULL AND query_id IS NOT NULL"))
-    active = settled(asked.select("query").distinct())
+    active = settled(asked.select("query").distinct().withColumn("worst", F.lit(bits)))
     best = Window.partitionBy("query").orderBy("distance", "id")
     found = done = None
     for radius in range(SEGMENT + 1):
-        probe = active.select("query", F.posexplode("query").alias("segment", "own")).withColumn("mask", F.explode(_mask_column(radius)))
-        probe = probe.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        first_met = None
+        probe = active.select("query", "worst", F.posexplode("query").alias("segment", "own")).withColumn("mask", F.explode(_mask_column(radius)))
+        probe = probe.select("query", "worst", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        # A pair counts where it is first met, and only if it can still be among the k nearest.
+        useful = distance(F.col("query"), F.col("code"), segments) <= F.col("worst")
         for j in range(segments):
             d = _at(F.col("query"), F.col("code"), j)
-            fine = (F.col("segment") == j) | F.when(F.col("segment") > j, d > radius).otherwise(d >= radius)
-            first_met = fine if first_met is None else first_met & fine
-        met = probe.join(index, ["segment", "value"]).where(first_met).select("query", F.explode("ids").alias("id"), distance(F.col("query"), F.col("code"), segments).alias("distance"))
+            useful &= (F.col("segment") == j) | F.when(F.col("segment") > j, d > radius).otherwise(d >= radius)
+        met = probe.join(index, ["segment", "value"]).where(useful).select("query", F.explode("ids").alias("id"), distance(F.col("query"), F.col("code"), segments).alias("distance"))
         met = met if found is None else met.unionByName(found.join(active, "query", "left_semi"))
         found = settled(met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
         covered = segments * (radius + 1) - 1
-        finished = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") >= k) & (F.col("worst") <= covered)).select("query")
-        ended = found.join(finished, "query", "left_semi") if radius < SEGMENT else found
+        known = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") >= k).select("query", "kth")
+        state = settled(active.join(known, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("worst"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(radius == SEGMENT)).alias("finished")))
+        ended = found.join(state.where("finished").select("query"), "query", "left_semi")
         done = ended if done is None else done.unionByName(ended)
-        active = settled(active.join(finished, "query", "left_anti"))
-        if not active.take(1):
+        active = state.where("NOT finished").select("query", "worst")
+        if radius == SEGMENT or not active.take(1):
             break
     ranked = done.withColumn("rank", F.row_number().over(best))
     return asked.join(ranked, "query").select("query_id", "rank", F.col("id").alias("neighbor_id"), "distance")
