@@ -24,7 +24,7 @@ _SEQ_SPAN = 1 << SEQ_BITS
 
 def make_shard_id(pg_id: Column, seq: Column) -> Column:
     """pg_id in the upper 16 bits; groups from 32768 on give negative ids, see `unsigned`."""
-    return pg_id.cast("long") * F.lit(_SEQ_SPAN) + seq
+    return F.shiftleft(pg_id.cast("long"), SEQ_BITS).bitwiseOR(seq.cast("long"))
 
 
 def shard_seq(shard_id: Column) -> Column:
