@@ -17,7 +17,7 @@ move by id to the few segments to be compared and once more for the result. Grou
 2 * LENGTH bytes, so tasks have bounded memory whatever the corpus holds.
 
 Defined results: a null text counts as empty; texts of fewer than LENGTH bytes lose nothing; windows never cross texts; a repeated
-row is another place where its strings start, so both rows lose what they share; rows are told apart by id and text. An empty table
+row is another place where its strings start, so both rows lose what they share; rows are told apart by two 64-bit hashes of id and text. An empty table
 gives an empty table. Only the named columns are read. Windows are compared by 64-bit hashes next to each other in
 suffix order.
 """
@@ -73,7 +73,7 @@ def cut_segments(prefix: np.ndarray, start: np.ndarray, anchor: np.ndarray, brea
 
 
 def list_segments(df: DataFrame, length: int, gram: int, width: int) -> DataFrame:
-    """(doc, twin, key, content, start, windows, reach) for the segments of each row of df (doc, twin, text); `reach` is the first window's distance to the anchor."""
+    """(doc, twin, key, content, start, windows, reach) for the segments of each row of df (doc, twin, text), where doc and twin tell rows apart; `reach` is the first window's distance to the anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_BYTES):
@@ -91,7 +91,7 @@ def list_segments(df: DataFrame, length: int, gram: int, width: int) -> DataFram
             columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(key), pa.array(content), pa.array(at[first].astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((anchor - start)[first].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "twin", "key", "content", "start", "windows", "reach"])
 
-    return df.select("doc", "twin", "text").mapInArrow(cut, f"doc {df.schema['doc'].dataType.simpleString()}, twin bigint, key bigint, content bigint, start int, windows int, reach int")
+    return df.select("doc", "twin", "text").mapInArrow(cut, "doc bigint, twin bigint, key bigint, content bigint, start int, windows int, reach int")
 
 
 def recut(segments: DataFrame, width: int, length: int) -> DataFrame:
@@ -203,9 +203,9 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array<struct<start, stop>>, kept binary) of each row: the maximal removed runs, and the bytes that stay."""
-    told = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("twin", F.xxhash64("text"))
+    told = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc"), F.xxhash64(text_col).alias("twin"))
     spans = repeated_spans(told, length, gram, hot).groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = told.join(spans, told["doc"].eqNullSafe(spans["doc"]) & (told["twin"] == spans["twin"]), "left").select(told["doc"], "text", "spans")
+    joined = told.join(spans, ["doc", "twin"], "left").select("id", "text", "spans")
     runs = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
