@@ -12,9 +12,12 @@ from shardwise.functions import scalars as S
 
 
 def exported_shards(shard: DataFrame, pg_id: int, upto_lsn: int) -> DataFrame:
-    """Shards of a group up to a log position (none at 0), numbered by chunk, then lsn."""
-    rows = shard.where((F.col("pg_id") == pg_id) & (F.col("lsn") <= upto_lsn) & F.lit(upto_lsn != 0))
-    return rows.select("shard_id", "chunk_id", "lsn", F.row_number().over(Window.partitionBy("pg_id").orderBy("chunk_id", "lsn")).cast("long").alias("position"))
+    """Shards of a group up to a log position (none at 0), numbered by chunk, then lsn: within the chunk, after the number of shards in earlier chunks, so only one row a chunk is ever in one task."""
+    rows = shard.where((F.col("pg_id") == pg_id) & (F.col("lsn") <= upto_lsn) & F.lit(upto_lsn != 0)).select("shard_id", "chunk_id", "lsn")
+    counts = rows.groupBy("chunk_id").agg(F.count("*").alias("n"), F.lit(pg_id).alias("pg_id"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pg_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy("lsn"))
+    return rows.join(counts.select("chunk_id", before.alias("before")), "chunk_id").select("shard_id", "chunk_id", "lsn", (F.col("before") + nth).alias("position"))
 
 
 def read_order(blob: DataFrame) -> DataFrame:

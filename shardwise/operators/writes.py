@@ -45,10 +45,18 @@ def shard_creation(requests: DataFrame, pg: DataFrame, chunk: DataFrame) -> Data
     return joined.select("request_id", "pg_id", create_shard_status(F.col("size"), F.octet_length("meta"), F.col("known").isNotNull(), F.col("free").isNotNull()).alias("status"))
 
 
+#: Log positions numbered together by `shard_numbers`.
+STRIDE = 1 << 16
+
+
 def shard_numbers(shard: DataFrame) -> DataFrame:
-    """Sequence numbers in order of creation: from 1 in the persistent store, from 0 in memory."""
-    by = F.row_number().over(Window.partitionBy("pg_id").orderBy("lsn")).cast("long")
-    return shard.select("pg_id", "shard_id", by.alias("persistent_seq"), (by - 1).alias("memory_seq"))
+    """Sequence numbers in order of creation: from 1 in the persistent store, from 0 in memory. Numbers are counted within strides of the log and shifted by the shards before, so no task sees all shards of a group."""
+    rows = shard.select("pg_id", "shard_id", "lsn", F.floor(F.col("lsn") / STRIDE).alias("stride"))
+    counts = rows.groupBy("pg_id", "stride").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pg_id").orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("pg_id", "stride").orderBy("lsn"))
+    number = F.col("before") + nth
+    return rows.join(counts.select("pg_id", "stride", before.alias("before")), ["pg_id", "stride"]).select("pg_id", "shard_id", number.alias("persistent_seq"), (number - 1).alias("memory_seq"))
 
 
 def seal(oplog: DataFrame) -> DataFrame:
@@ -79,7 +87,7 @@ def group_counters(index: DataFrame) -> DataFrame:
 
 def without_groups(table: DataFrame, destroyed: DataFrame) -> DataFrame:
     """Rows whose group is not among the destroyed ones."""
-    return table.join(F.broadcast(destroyed), "pg_id", "left_anti") if destroyed.isLocal() else table.join(destroyed, "pg_id", "left_anti")
+    return table.join(destroyed, "pg_id", "left_anti")
 
 
 def group_record(pg: DataFrame, member: DataFrame, chunk: DataFrame) -> DataFrame:
