@@ -169,7 +169,7 @@ def _by_key(parts: DataFrame, times: str) -> DataFrame:
 def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc, twin, start, stop): spans of bytes to remove from each row of df (doc, twin, text), possibly overlapping."""
     rows = list_segments(df, length, gram, WIDTHS[0])
-    rows = settled(rows.join(_by_key(rows, "1"), "key"))
+    rows = settled(rows.join(settled(_by_key(rows, "1")), "key"))  # of settled keys, so that Spark can split a hot one
     distinct = rows.where("mixed").groupBy("key", "content").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc", "twin", "start", "windows", "reach")))
     size = F.col("windows") - 1 + length
     texts = df.select("doc", "twin", F.col("text").cast("binary").alias("body"))
@@ -185,7 +185,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         if not crowded.take(1):
             break
         parts = settled(recut(crowded, width, length))
-        parts = parts.join(_by_key(parts, "times"), "key")
+        parts = parts.join(settled(_by_key(parts, "times")), "key")
         whole = parts.where("NOT mixed")
         found.append(whole.select("root_key", "root_content", F.col("offset").alias("first"), (F.col("offset") + F.col("windows") - 1).alias("last")))
         merged = parts.where("mixed")
