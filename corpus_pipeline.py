@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of `documents`.
 
-Defined results: a document with a null text is judged like an empty one; repeated rows are judged alike, and as they
+Defined results: a document without an id is dropped by the first stage, as no decision can be traced to it; one with a null text is judged like an empty one; repeated rows are judged alike, and as they
 are copies one row of them stays after the second stage; columns beyond those of `documents` are not passed on; an empty
 table passes through all stages.
 """
