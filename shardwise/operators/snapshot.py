@@ -98,3 +98,23 @@ def group_meta(shard: DataFrame, blob: DataFrame) -> DataFrame:
 def resume(exported: DataFrame, finished: DataFrame) -> DataFrame:
     """Shards still to be sent after an interruption: those not recorded as finished."""
     return exported.join(finished, "shard_id", "left_anti")
+
+
+def messages(exported: DataFrame, batched: DataFrame) -> DataFrame:
+    """All messages of an export in order: the group's first, then each shard's record and batches. `kind` tells them apart; the id of a message is that of its shard's position and batch."""
+    first = exported.sparkSession.range(1).select(F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("batch_id"), F.lit("group").alias("kind"))
+    records = exported.select("position", F.lit(0).cast("long").alias("batch_id"), F.lit("shard").alias("kind"))
+    parts = exported.join(batched, "shard_id").select("position", "batch_id", F.lit("blobs").alias("kind"))
+    return first.unionByName(records).unionByName(parts).withColumn("message_id", S.object_id(F.col("position"), F.col("batch_id")).cast("string"))
+
+
+def prefetch_state(verified: Column) -> Column:
+    """State under which a blob is sent: one that does not verify, or is a delete marker, is sent as corrupted."""
+    return F.when(F.coalesce(verified, F.lit(False)), "NORMAL").otherwise("CORRUPTED")
+
+
+def receive(rows: DataFrame) -> DataFrame:
+    """Outcome of received batches (shard_id, batch_id, state, sound): a normal blob that does not verify fails its batch, corrupted ones are kept and counted."""
+    return rows.groupBy("shard_id", "batch_id").agg(
+        F.count("*").alias("blobs"), F.count_if(F.col("state") == "CORRUPTED").alias("corrupted"), F.when(F.count_if((F.col("state") == "NORMAL") & ~F.col("sound")) > 0, "FAILED").otherwise("OK").alias("status")
+    )

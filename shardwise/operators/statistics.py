@@ -84,3 +84,17 @@ def scrub_bound(replica: DataFrame, cap: int, replicas: int = 3) -> DataFrame:
 def histogram(df: DataFrame, value: Column, low: float, high: float, buckets: int) -> DataFrame:
     """Counts in equal buckets; 0 and buckets + 1 hold what lies outside."""
     return df.groupBy(F.width_bucket(value.cast("double"), F.lit(low), F.lit(high), F.lit(buckets)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def group_gauges(shard: DataFrame, blob: DataFrame, chunk: DataFrame) -> DataFrame:
+    """Gauges of each group as they are published: shares in thousandths of deleted blobs, garbage blocks and used space."""
+    dead = F.count_if("is_tombstone")
+    blobs = blob.groupBy("pg_id").agg(F.floor(dead * 1000 / F.count("*")).alias("deleted_per_mille"))
+    space = chunk.groupBy("pg_id").agg(F.floor(F.sum("defrag_blks") * 1000 / F.sum("total_blks")).alias("garbage_per_mille"), F.floor(F.sum("used_blks") * 1000 / F.sum("total_blks")).alias("used_per_mille"))
+    return open_shards(shard).join(blobs, "pg_id", "left").join(space, "pg_id", "left").select("pg_id", "open_shards", F.coalesce("deleted_per_mille", F.lit(0)).alias("deleted_per_mille"), "garbage_per_mille", "used_per_mille")
+
+
+def quorum(stats: DataFrame, members: DataFrame) -> DataFrame:
+    """Group statistics next to the least and greatest commit of members that may vote."""
+    seen = members.where("can_vote").groupBy("pg_id").agg(F.min("last_commit_lsn").alias("least_lsn"), F.max("last_commit_lsn").alias("greatest_lsn"), F.count("*").alias("voters"))
+    return stats.join(seen, "pg_id", "left")

@@ -96,3 +96,29 @@ def group_record(pg: DataFrame, member: DataFrame, chunk: DataFrame) -> DataFram
     chunks = chunk.groupBy("pg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("v_chunk_id", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
     joined = pg.join(members, "pg_id", "left").join(chunks, "pg_id", "left")
     return joined.select("pg_id", F.to_json(F.struct("pg_id", "pg_size", "members", "chunk_ids")).alias("record"))
+
+
+def put_records(puts: DataFrame, counters: DataFrame) -> DataFrame:
+    """Log records of new puts (pg_id, shard_id, request_id, size): ids follow each group's next number in order of request; with blocks and padding. Numbered within strides of requests, as `shard_numbers`."""
+    rows = puts.withColumn("stride", F.floor(F.col("request_id") / STRIDE))
+    counts = rows.groupBy("pg_id", "stride").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pg_id").orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("pg_id", "stride").orderBy("request_id"))
+    numbered = rows.join(counts.select("pg_id", "stride", before.alias("before")), ["pg_id", "stride"]).join(counters, "pg_id", "left")
+    stored = S.round_up(F.col("size") + S.HEADER_BYTES, S.BLOCK_BYTES)
+    return numbered.select(
+        "pg_id", "shard_id", "request_id", (F.coalesce("blob_sequence_num", F.lit(0)) + F.col("before") + nth - 1).alias("blob_id"), S.blob_blocks(F.col("size")).alias("blk_count"), (stored - S.HEADER_BYTES - F.col("size")).alias("padding")
+    )
+
+
+def delete_records(blob: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Log records of deletes: one for each wanted key, whether the blob is there or not."""
+    return wanted.join(blob.select("shard_id", "blob_id", "is_tombstone"), ["shard_id", "blob_id"], "left").select("shard_id", "blob_id", F.lit("DEL_BLOB").alias("msg_type"), (~F.coalesce("is_tombstone", F.lit(True))).alias("was_live"))
+
+
+def parsed_group_records(records: DataFrame, chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
+    """Group records (pg_id, record, crc) read back from JSON, and whether checksum, size and members are sound."""
+    shape = "pg_id int, pg_size bigint, members array<struct<id:string,name:string,priority:int>>, chunk_ids array<bigint>"
+    parsed = records.withColumn("r", F.from_json("record", shape))
+    sound = (F.crc32(F.col("record").cast("binary")) == F.col("crc")) & (F.col("r.pg_size") >= chunk_bytes) & F.exists("r.members", lambda m: m["priority"] > 0)
+    return parsed.select("pg_id", F.size("r.members").alias("members"), F.size("r.chunk_ids").alias("chunks"), F.coalesce(sound, F.lit(False)).alias("sound"))

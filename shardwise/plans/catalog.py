@@ -288,3 +288,31 @@ query("h12_error_names", """SELECT lsn, CASE lsn % 4 WHEN 0 THEN 'INVALID_ARG' W
     lambda s: s.oplog.select("lsn", S.api_error(F.element_at(F.array(*(F.lit(x) for x in ("BAD_REQUEST", "CANCELLED", "TIMEOUT", "ODD"))), (F.col("lsn") % 4 + 1).cast("int"))).alias("error")))
 query("h13_stats_text", "SELECT pg_id, 'PG ' || pg_id || ': ' || count(*) || ' shards' AS line FROM shard GROUP BY pg_id", lambda s: s.shard.groupBy("pg_id").agg(F.count("*").alias("n")).select("pg_id", F.format_string("PG %d: %d shards", "pg_id", "n").alias("line")))
 query("h14_h15_overrides", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'hdd' ELSE 'nvme' END AS kind FROM supplier", lambda s: s.read("supplier").select("s_suppkey", F.lower(F.coalesce(F.when(F.col("s_suppkey") % 2 == 0, "HDD"), F.lit("NVME"))).alias("kind")))
+
+# --- More writes, export and views ---
+query("a2_get_if_ready", "SELECT b.shard_id, b.blob_id, CASE WHEN b.pg_id = 3 THEN 'RETRY' WHEN b.is_tombstone THEN 'UNKNOWN_BLOB' ELSE 'OK' END AS status FROM blob b",
+    lambda s: s.blob.join(reads.lookup(s.blob, s.blob.select("shard_id", "blob_id")), ["shard_id", "blob_id"]).select("shard_id", "blob_id", F.when(F.col("pg_id") == 3, "RETRY").otherwise(F.col("status")).alias("status")))
+query("a3_memory_get", "SELECT shard_id, blob_id, sha256(body) AS sha256 FROM payload", lambda s: s.payload.select("shard_id", "blob_id", F.sha2("body", 256).alias("sha256")))
+query("a6_partial_reads", _REQUESTS_SQL + " SELECT shard_id, blob_id FROM answer WHERE status = 'OK' AND partial", lambda s: reads.read_range(s.payload, _requests(s)).where("partial").select("shard_id", "blob_id"))
+query("b2_put_records", """, c AS (SELECT pg_id, max(blob_id) + 1 AS n FROM blob GROUP BY pg_id), puts AS (SELECT pg_id, shard_id, seq AS request_id, (seq % 9000)::BIGINT AS size FROM shard)
+    SELECT pg_id, shard_id, request_id, coalesce(n, 0) + row_number() OVER (PARTITION BY pg_id ORDER BY request_id) - 1 AS blob_id, 1 + (size + 4095) // 4096 AS blk_count, ((size + 8191) // 4096) * 4096 - 4096 - size AS padding FROM puts LEFT JOIN c USING (pg_id)""",
+    lambda s: writes.put_records(s.shard.select("pg_id", "shard_id", F.col("seq").alias("request_id"), (F.col("seq") % 9000).alias("size")), s.blob.groupBy("pg_id").agg((F.max("blob_id") + 1).alias("blob_sequence_num"))))
+query("b7_delete_records", "SELECT s.shard_id, s.seq * 256 AS blob_id, 'DEL_BLOB' AS msg_type, NOT coalesce(is_tombstone, true) AS was_live FROM shard s LEFT JOIN blob b ON b.shard_id = s.shard_id AND b.blob_id = s.seq * 256",
+    lambda s: writes.delete_records(s.blob, s.shard.select("shard_id", (F.col("seq") * 256).alias("blob_id"))))
+query("b15_h8_group_records", "SELECT pg_id, m AS members, c AS chunks, pg_id <> 2 AND lead AS sound FROM pg JOIN (SELECT pg_id, count(*) AS m, max(priority) > 0 AS lead FROM member GROUP BY pg_id) USING (pg_id) JOIN (SELECT pg_id, count(*) AS c FROM chunk GROUP BY pg_id) USING (pg_id)",
+    lambda s: writes.parsed_group_records(writes.group_record(s.pg, s.member, s.chunk).withColumn("crc", F.crc32(F.col("record").cast("binary")) + F.when(F.col("pg_id") == 2, 1).otherwise(0))))
+query("b20_group_gauges", """, o AS (SELECT pg_id, count(*) FILTER (state = 0) AS open_shards FROM shard GROUP BY pg_id), b AS (SELECT pg_id, count(*) FILTER (is_tombstone) * 1000 // count(*) AS d FROM blob GROUP BY pg_id),
+    c AS (SELECT pg_id, (sum(defrag_blks) * 1000 // sum(total_blks))::BIGINT AS g, (sum(used_blks) * 1000 // sum(total_blks))::BIGINT AS u FROM chunk GROUP BY pg_id)
+    SELECT pg_id, open_shards, coalesce(d, 0) AS deleted_per_mille, g AS garbage_per_mille, u AS used_per_mille FROM o LEFT JOIN b USING (pg_id) LEFT JOIN c USING (pg_id)""", lambda s: statistics.group_gauges(s.shard, s.blob, s.chunk))
+query("e3_memory_stats", "SELECT pg_id, count(*) AS total_shards, count(*) FILTER (state = 0) AS open_shards FROM shard WHERE pg_id = 2 GROUP BY pg_id", lambda s: statistics.open_shards(s.shard.where("pg_id = 2")))
+query("h9_shard_records", "SELECT shard_id, state, lsn FROM shard", lambda s: s.shard.select(F.from_json(F.to_json(F.struct("shard_id", "state", "lsn")), "shard_id bigint, state int, lsn bigint").alias("r")).select("r.*"))
+query("i6_export_messages", """, e AS (SELECT shard_id, row_number() OVER (ORDER BY chunk_id, lsn)::BIGINT AS position FROM shard WHERE pg_id = 1 AND lsn <= 900),
+    m AS (SELECT 0::BIGINT AS position, 0::BIGINT AS batch_id, 'group' AS kind UNION ALL SELECT position, 0, 'shard' FROM e UNION ALL SELECT DISTINCT position, 1, 'blobs' FROM e JOIN blob USING (shard_id) WHERE NOT is_tombstone)
+    SELECT *, (9223372036854775808::DECIMAL(20,0) + position * 32768 + batch_id)::VARCHAR AS message_id FROM m""", lambda s: snapshot.messages(snapshot.exported_shards(s.shard, 1, 900), snapshot.export_batches(s.blob, 1 << 40)))
+query("i9_prefetch_states", "SELECT blob_id, CASE WHEN blob_id % 7 <> 0 THEN 'NORMAL' ELSE 'CORRUPTED' END AS state FROM payload",
+    lambda s: s.payload.select("blob_id", snapshot.prefetch_state(integrity.checksum(F.col("body")) == F.crc32("body") + (F.col("blob_id") % 7 == 0).cast("int")).alias("state")))
+query("i11_received_batches", """SELECT user_id AS shard_id, event_id % 4 AS batch_id, count(*) AS blobs, count(*) FILTER (event_id % 11 = 0) AS corrupted, CASE WHEN count(*) FILTER (event_id % 11 <> 0 AND event_id % 31 = 0) > 0 THEN 'FAILED' ELSE 'OK' END AS status FROM events GROUP BY 1, 2""",
+    lambda s: snapshot.receive(s.read("events").select(F.col("user_id").alias("shard_id"), (F.col("event_id") % 4).alias("batch_id"), F.when(F.col("event_id") % 11 == 0, "CORRUPTED").otherwise("NORMAL").alias("state"), (F.col("event_id") % 31 != 0).alias("sound"))))
+query("v_quorum", f", st AS ({_STATUS}), q AS (SELECT pg_id, min(last_commit_lsn) AS least_lsn, max(last_commit_lsn) AS greatest_lsn, count(*) AS voters FROM st WHERE can_vote GROUP BY pg_id)"
+    " SELECT s.pg_id, total_shards, open_shards, least_lsn, greatest_lsn, voters FROM (SELECT pg_id, count(*) AS total_shards, count(*) FILTER (state = 0) AS open_shards FROM shard GROUP BY pg_id) s LEFT JOIN q USING (pg_id)",
+    lambda s: statistics.quorum(statistics.open_shards(s.shard), relations.member_status(s.member, s.peer)))
