@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shardwise.functions import scalars as S
 from shardwise.operators import compaction, integrity, oplog, placement, reads, relations, snapshot, statistics, writes
 from shardwise.sources.store import TABLES_SQL, Store
+from shardwise.streaming.fold import fold_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,6 +242,7 @@ query("g5_reconcile", "SELECT pg_id, member_id, CASE WHEN priority >= 0 THEN nam
 # --- Log ---
 query("i1_dispatch", "SELECT msg_type, count(*) AS n, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM oplog GROUP BY msg_type", lambda s: oplog.dispatch(s.oplog))
 query("i2_index_fold", _FOLD + " SELECT * FROM folded", lambda s: oplog.fold_index(s.oplog))
+query("i2_stream_fold", _FOLD + " SELECT shard_id, blob_id, put_lsn, del_lsn, blk_count, is_tombstone FROM folded", lambda s: fold_files(s.spark, s.oplog_stream, s.scratch()))
 query("i3_puts_after_seal", """, s AS (SELECT shard_id, min(lsn) AS seal_lsn FROM oplog WHERE msg_type = 'SEAL_SHARD' GROUP BY shard_id)
     SELECT lsn, shard_id, blob_id, 'SEALED_SHARD' AS status FROM oplog JOIN s USING (shard_id) WHERE msg_type = 'PUT_BLOB' AND lsn > seal_lsn""", lambda s: oplog.after_seal(s.oplog))
 query("i4_rollback", "SELECT msg_type, count(*) AS n FROM oplog WHERE lsn % 10 <> 3 GROUP BY msg_type", lambda s: oplog.rolled_back(s.oplog, s.oplog.where("lsn % 10 = 3").select("lsn")).groupBy("msg_type").agg(F.count("*").alias("n")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,19 @@ BLOBS_PER_SHARD = 256
 _LINE = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
+def log_of(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    return events.select(
+        F.col("event_id").alias("lsn"),
+        (F.col("user_id") % 5 + 1).cast("int").alias("pg_id"),
+        F.col("user_id").alias("shard_id"),
+        (F.col("event_id") % 60).alias("blob_id"),
+        F.when(kind.isin("click", "purchase", "view"), "PUT_BLOB").when(kind == "error", "DEL_BLOB").otherwise("SEAL_SHARD").alias("msg_type"),
+        (F.col("event_id") % 7 + 2).cast("int").alias("blk_count"),
+        (F.col("event_id") % 97 == 0).alias("header_corrupted"),
+    )
+
+
 class Store:
     """Each table is a property and nothing is read before it is used.
 
@@ -102,16 +117,16 @@ class Store:
 
     @cached_property
     def oplog(self) -> DataFrame:
-        kind = F.col("event_type")
-        return self.read("events").select(
-            F.col("event_id").alias("lsn"),
-            (F.col("user_id") % 5 + 1).cast("int").alias("pg_id"),
-            F.col("user_id").alias("shard_id"),
-            (F.col("event_id") % 60).alias("blob_id"),
-            F.when(kind.isin("click", "purchase", "view"), "PUT_BLOB").when(kind == "error", "DEL_BLOB").otherwise("SEAL_SHARD").alias("msg_type"),
-            (F.col("event_id") % 7 + 2).cast("int").alias("blk_count"),
-            (F.col("event_id") % 97 == 0).alias("header_corrupted"),
-        )
+        return log_of(self.read("events"))
+
+    @cached_property
+    def oplog_stream(self) -> DataFrame:
+        """The log as a stream of the same files: those in the table's folder, or the one file that the table is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/events.parquet")
+        stream = self.spark.readStream.schema(self.read("events").schema).option("maxFilesPerTrigger", 1)
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+            return log_of(stream.parquet(f"{self.folder}/events.parquet"))
+        return log_of(stream.option("pathGlobFilter", "events.parquet").parquet(self.folder))
 
     @cached_property
     def payload(self) -> DataFrame:
@@ -138,6 +153,10 @@ class Store:
             (F.col("p_partkey") % 20).alias("job_id"),
         )
 
+    def scratch(self) -> str:
+        """A new folder in the shared folder of spark.checkpoint.dir; where that is unset, as in tests, in a temporary one."""
+        return f"{self.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
+
 
 TABLES_SQL = """WITH pg AS (
     SELECT (r_regionkey + 1)::INT AS pg_id, r_name AS group_name, (5 * 2147483648)::BIGINT AS pg_size, 3 AS expected_members FROM region),

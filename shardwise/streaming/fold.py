@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _STATE = "put_lsn bigint, del_lsn bigint, blk_count int"
@@ -36,3 +37,14 @@ def fold_stream(oplog: DataFrame) -> DataFrame:
 
     keyed = oplog.where("msg_type IN ('PUT_BLOB', 'DEL_BLOB')").groupBy("shard_id", "blob_id")
     return keyed.applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def fold_files(spark: SparkSession, oplog: DataFrame, folder: str) -> DataFrame:
+    """The folded index of a streamed log: runs `fold_stream` over all of it, keeps each batch's updates under `folder`, and returns the last state of each key."""
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    running = fold_stream(oplog).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(keep).start()
+    running.awaitTermination()
+    updates = spark.read.parquet(f"{folder}/updates")
+    return updates.groupBy("shard_id", "blob_id").agg(F.min("put_lsn").alias("put_lsn"), F.min("del_lsn").alias("del_lsn"), F.min("blk_count").alias("blk_count"), F.bool_or("is_tombstone").alias("is_tombstone"))
