@@ -44,7 +44,10 @@ STEPS = 40
 
 def words(text: Column) -> Column:
     """Words between single blanks, line breaks counting as blanks; none for null."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\n\t\r", "   "), " ", -1), lambda w: w != "")
+    blank, spaced = F.lit(" "), F.coalesce(text, F.lit(""))
+    for c in "\n\t\r":  # whole searches, much faster than a translation by character
+        spaced = F.replace(spaced, F.lit(c), blank)
+    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
 
 
 def features(tokens: Column) -> Column:
