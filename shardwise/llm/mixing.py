@@ -47,7 +47,7 @@ def words(text: Column) -> Column:
     blank, spaced = F.lit(" "), F.coalesce(text, F.lit(""))
     for c in "\n\t\r":  # whole searches, much faster than a translation by character
         spaced = F.replace(spaced, F.lit(c), blank)
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def features(tokens: Column) -> Column:
@@ -67,23 +67,25 @@ class Classifier:
         self.domains = sorted(base)
         self.base, self.shift = base, shift
 
-    def scores(self, tokens: Column) -> list[Column]:
-        """The log score of each domain, in order of their names."""
         slots: dict[int, int] = {}
-        for h in sorted({h for s in self.shift.values() for h in s}, key=lambda h: -max(abs(s.get(h, 0.0)) for s in self.shift.values())):
+        for h in sorted({h for s in shift.values() for h in s}, key=lambda h: -max(abs(s.get(h, 0.0)) for s in shift.values())):
             slots.setdefault(h % BUCKETS, h)
-        known = [0, *slots.values()]
-        place = {b: k for k, b in enumerate(slots, start=2)}
-        index, hashes = _constant([place.get(b, 1) for b in range(BUCKETS)], "int"), _constant(known, "bigint")
+        #: Features in use by their place in the table; of those that share a place the most telling.
+        self.slots = slots
 
-        def at(h: Column) -> Column:
-            return F.element_at(index, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
+    def found(self, tokens: Column) -> Column:
+        """The features in use that are among the tokens, each once."""
+        known = _constant(list(self.slots.values()), "bigint") if self.slots else F.expr("CAST(array() AS array<bigint>)")
+        return F.array_intersect(features(tokens), known)
 
-        found = F.array_distinct(F.filter(features(tokens), lambda h: F.element_at(hashes, at(h)) == h))
+    def scores(self, found: Column) -> list[Column]:
+        """The log score of each domain, in order of their names. `found` should be a column: each score reads it."""
+        place = {b: k for k, b in enumerate(self.slots, start=2)}
+        index = _constant([place.get(b, 1) for b in range(BUCKETS)], "int")
 
         def score(domain: str) -> Column:
-            table = _constant([round(self.shift[domain].get(h, 0.0), 6) for h in known], "double")
-            return F.aggregate(found, F.lit(self.base[domain]), lambda a, h: a + F.element_at(table, at(h)))
+            table = _constant([round(self.shift[domain].get(h, 0.0), 6) for h in [0, *self.slots.values()]], "double")
+            return F.aggregate(found, F.lit(self.base[domain]), lambda a, h: a + F.element_at(table, F.element_at(index, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)))
 
         return [score(d) for d in self.domains]
 
@@ -119,7 +121,8 @@ def memberships(df: DataFrame, classifier: Classifier | None, domains: list[str]
     tokens = df.select(id_col, words(F.col(text_col)).alias("tokens"))
     if classifier is None:
         return tokens.select(id_col, F.size("tokens").cast("long").alias("tokens"), F.array(*(F.lit(round(1 / len(domains), 3)) for _ in domains)).alias("p"))
-    scored = tokens.select(id_col, F.size("tokens").cast("long").alias("tokens"), F.array(*classifier.scores(F.col("tokens"))).alias("scores"))
+    met = tokens.select(id_col, F.size("tokens").cast("long").alias("tokens"), classifier.found(F.col("tokens")).alias("found"))
+    scored = met.select(id_col, "tokens", F.array(*classifier.scores(F.col("found"))).alias("scores"))
     powers = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
     weighed = scored.select(id_col, "tokens", powers.alias("powers"))
     total = F.aggregate("powers", F.lit(0.0), lambda a, x: a + x)
