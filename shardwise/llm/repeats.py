@@ -10,7 +10,7 @@ that stretch share, its content is the bytes its windows cover. Then:
    of the batch is built by linear grouping (see `suffixes`). A window repeats if its neighbour in the order has equal
    first LENGTH bytes, or its segment occurs more than once.
 3. A key of more than HOT distinct segments is not gathered: its segments are cut to a narrower width, whose keys hold more
-   of the windows, and steps 1 to 3 run on the parts. At width 1 the key is the whole window and nothing is left to compare.
+   of the windows, and steps 1 to 3 run on the parts, where equal parts of many segments are compared as one. At width 1 the key is the whole window and nothing is left to compare.
 
 Scale: the first pass sends one short row for about a hundred bytes of text, counted before shuffles where keys are equal; texts
 move by id to the few segments to be compared and once more for the result. Groups hold at most HOT segments of less than
@@ -176,11 +176,12 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     texts = df.select("doc", "twin", F.col("text").cast("binary").alias("body"))
     fetched = distinct.join(texts, ["doc", "twin"]).select("key", "content", "times", "windows", "reach", F.col("body").substr(F.col("start") + 1, size).alias("data"))
     level = settled(fetched.dropDuplicates(["key", "content"]))
-    level = level.select("*", F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).alias("offset"))
+    level = level.select("*", F.col("times").alias("total"), F.lit(True).alias("first_of"), F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).alias("offset"))
     found = []
     for width in WIDTHS[1:]:
-        counted = level.join(level.groupBy("key").agg(F.count_distinct("content").alias("n")), "key")
-        runs = compare(counted.where(F.col("n") <= hot), length)
+        counted = level.join(level.groupBy("key").agg(F.count_if("first_of").alias("n")), "key")
+        once = counted.where(F.col("first_of") & (F.col("n") <= hot))  # equal parts of many segments are compared as one
+        runs = compare(once.select("key", "content", F.col("total").alias("times"), "windows", "data"), length)
         found.append(level.join(runs, ["key", "content"]).select("root_key", "root_content", (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("last")).alias("last")))
         crowded = settled(counted.where(F.col("n") > hot).select("root_key", "root_content", "offset", "times", "reach", "windows", "data"))
         if not crowded.take(1):
@@ -189,10 +190,10 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         parts = parts.join(settled(_by_key(parts, "times")), "key")
         whole = parts.where("NOT mixed")
         found.append(whole.select("root_key", "root_content", F.col("offset").alias("first"), (F.col("offset") + F.col("windows") - 1).alias("last")))
-        merged = parts.where("mixed")
-        totals = merged.groupBy("key", "content").agg(F.sum("times").alias("total"))
-        level = settled(merged.join(totals, ["key", "content"]).drop("times").withColumnRenamed("total", "times"))
-        level = level.select("key", "content", "times", "windows", "reach", "data", "root_key", "root_content", "offset")
+        merged = settled(parts.where("mixed").withColumn("place", F.xxhash64("root_key", "root_content", "offset")))
+        totals = settled(merged.groupBy("key", "content").agg(F.sum("times").alias("total"), F.min("place").alias("least")))
+        level = settled(merged.join(totals, ["key", "content"]).withColumn("first_of", F.col("place") == F.col("least")))
+        level = level.select("key", "content", "times", "total", "first_of", "windows", "reach", "data", "root_key", "root_content", "offset")
     ranges = found[0]
     for more in found[1:]:
         ranges = ranges.unionByName(more)

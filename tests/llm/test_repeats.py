@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shardwise.llm import repeats
 from shardwise.llm.suffixes import suffix_array
-from tests.llm.cases import documents, frame
+from tests.llm.cases import documents, frame, prose
 
 
 def brute(rows, length):
@@ -29,6 +30,22 @@ def test_as_brute_force(spark, hot):
     assert sorted(map(tuple, got), key=str) == brute(documents(), 400)
 
 
+def test_equal_parts_are_compared_once(spark, monkeypatch):
+    """A passage in more than `hot` documents with other text around it, and one copy with an edit that makes its parts' keys mixed."""
+    passage = prose(150, 3)
+    rows = [(k, prose(60, 100 + k) + passage + prose(60, 200 + k)) for k in range(14)] + [(50 + k, prose(60, 300 + k) + passage[: 420 + 9 * k] + "#" + passage[421 + 9 * k :]) for k in range(3)]
+    given, compare = [], repeats.compare
+
+    def counted(segments, length):
+        given.append(segments.groupBy("key").agg(F.count("*").alias("rows"), F.count_distinct("content").alias("contents")).collect())
+        return compare(segments, length)
+
+    monkeypatch.setattr(repeats, "compare", counted)
+    got = repeats.digests(repeats.remove_repeats(frame(spark, rows), hot=6)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 400)
+    assert any(given[1:]) and all(r["rows"] == r["contents"] <= 6 for g in given for r in g)
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(frame(spark).where("false")).count() == 0
 
