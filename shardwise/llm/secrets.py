@@ -3,12 +3,15 @@
 Base spans are leftmost, non-overlapping matches of three fixed patterns. Their matched values are labelled
 credentials: for each kind a bounded sample becomes a prefix tree over character classes, and states with
 statistically compatible futures (Hoeffding's bound on each outgoing and ending frequency) are merged into a
-probabilistic automaton. Every other token of a text that could be a credential is then scored by its
-mean log likelihood under each automaton; a token at least as likely as the least likely of
-99 % of the sample, and far likelier than under the spread of ordinary tokens, is a span of kind `format`.
+probabilistic automaton. Every other token of a text that could be a credential, the rest of one that a base span
+covers in part included, is then scored by its
+mean log likelihood under each automaton, its end included; a token at least as likely as the least likely of
+99 % of the sample, and RATIO times likelier than under the spread of all such tokens of the corpus (a chain over
+pairs of character classes), is a span of kind `format`. Tokens are runs of the characters of base values of at least the least
+base length, without dots at their ends.
 
 Scale: both passes are per row; the sample is at most SAMPLE values a kind, picked by a hash of the value with
-partial aggregation, so no value or kind gathers in one task. The automata (some kilobytes) go to the tasks.
+partial aggregation, so no value or kind gathers in one task; pairs of classes are counted over all rows. The automata (some kilobytes) go to the tasks.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give equal spans; texts of any length
 are read whole; ties of a sample's hash go to the smaller value; an empty table gives an empty table, and
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,8 +43,13 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 SAMPLE = 256
 #: Hoeffding confidence parameter of the merge test.
 ALPHA = 0.05
-#: Letters, digits and marks that a candidate is made of, and its least length.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Letters, digits and marks that a candidate is made of.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+LEAST_CANDIDATE = min(LEAST.values())
+#: How many times likelier a candidate must be in a learned format than among all candidates.
+RATIO = 1000.0
+#: Verdicts on short candidates that a worker keeps.
+MEMO, MEMO_CHARS = 1 << 17, 64
 
 _CLASS = str.maketrans({c: k for k, cs in {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs})
 
@@ -64,7 +72,6 @@ class Automaton:
         self._infer([v.translate(_CLASS) for v in values])
         scores = sorted(self.score(v) for v in values)
         self.least = scores[len(scores) // 100] - 0.05
-        self.shortest, self.longest = min(map(len, values)), max(map(len, values))
 
     def _infer(self, words: list[str]) -> None:
         children: list[dict[str, int]] = [{}]
@@ -158,38 +165,117 @@ class Automaton:
         return (total + self.stop[state]) / (len(value) + 1)
 
 
-def learned_spans(text: str, automata: dict[str, Automaton], taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Spans of kind `format`: candidates outside all base spans, with letters and digits, of a learned format."""
-    found = []
+def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, value) of all tokens, or what base spans leave of them, of at least LEAST_CANDIDATE characters."""
+    held = sorted((s, e) for _, s, e, _ in taken)
+    k = 0
     for m in CANDIDATE.finditer(text):
-        value, start, end = m.group(), m.start(), m.end()
-        if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value) or any(s < end and start < e for _, s, e, _ in taken):
+        if m.end() - m.start() < LEAST_CANDIDATE:
             continue
-        if any(a.shortest <= len(value) <= a.longest and a.score(value) >= a.least for a in automata.values()):
-            found.append(("format", start, end, value))
-    return found
+        at, end = m.span()
+        while k < len(held) and held[k][1] <= at:
+            k += 1
+        pieces, j = [], k
+        while j < len(held) and held[j][0] < end:
+            pieces.append((at, held[j][0]))
+            at = max(at, held[j][1])
+            j += 1
+        for s, e in [*pieces, (at, end)]:
+            while s < e and text[s] == ".":
+                s += 1
+            while s < e and text[e - 1] == ".":
+                e -= 1
+            if e - s >= LEAST_CANDIDATE:
+                yield s, e, text[s:e]
+
+
+def class_pairs(values: Counter) -> Counter:
+    """How often each pair of classes occurs in the values; a blank stands for either end."""
+    pairs: Counter = Counter()
+    for value, n in values.items():
+        word = f" {value.translate(_CLASS)} "
+        for pair in zip(word, word[1:], strict=False):
+            pairs[pair] += n
+    return pairs
+
+
+class Background:
+    """The chain over classes that gives the pairs of all candidates of the corpus, each pair counted once more."""
+
+    CLASSES = " dhlAU+/_.=-"
+
+    def __init__(self, pairs: dict[tuple[str, str], int]):
+        self.step = {}
+        for a in self.CLASSES:
+            total = sum(pairs.get((a, b), 0) + 1 for b in self.CLASSES)
+            self.step |= {(a, b): math.log((pairs.get((a, b), 0) + 1) / total) for b in self.CLASSES}
+
+    def score(self, value: str) -> float:
+        """Mean log likelihood of a value by character, its end included."""
+        word = f" {value.translate(_CLASS)} "
+        return sum(self.step[pair] for pair in zip(word, word[1:], strict=False)) / (len(value) + 1)
+
+
+class Formats:
+    """The learned automata and the background of their tokens; false without any."""
+
+    def __init__(self, automata: dict[str, Automaton], background: Background):
+        self.automata, self.background, self.known = automata, background, {}
 
+    def __bool__(self) -> bool:
+        return bool(self.automata)
 
-def learn_formats(df: DataFrame, text_col: str = "text") -> dict[str, Automaton]:
-    """One automaton for each base kind that occurs in df."""
+    def judge(self, value: str) -> bool:
+        least = self.background.score(value) + math.log(RATIO) / (len(value) + 1)
+        return any(x >= a.least and x >= least for a in self.automata.values() for x in (a.score(value),))
+
+    def fits(self, value: str) -> bool:
+        """Whether a value is of a learned format."""
+        if len(value) > MEMO_CHARS:
+            return self.judge(value)
+        if value not in self.known:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[value] = self.judge(value)
+        return self.known[value]
+
+
+def learned_spans(text: str, formats: Formats, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """Spans of kind `format`: candidates outside all base spans of a learned format."""
+    return [("format", s, e, value) for s, e, value in candidates(text, taken) if formats.fits(value)]
+
+
+def learn_formats(df: DataFrame, text_col: str = "text") -> Formats:
+    """One automaton for each base kind that occurs in df, and the background of all its candidates."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            pairs = [(k, v) for t in batch.column(0).to_pylist() if t for k, _, _, v in base_spans(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], names=["kind", "value"])
-
-    labelled = df.select(text_col).mapInArrow(values, "kind string, value string").withColumn("order", F.xxhash64("value"))
-    picked = labelled.groupBy("kind", F.pmod("order", F.lit(SAMPLE)).alias("slot")).agg(F.min_by("value", F.struct("order", "value")).alias("value"))
+            rows, others = [], Counter()
+            for t in batch.column(0).to_pylist():
+                base = base_spans(t) if t else []
+                rows += [(k, v, 1) for k, _, _, v in base]
+                others.update(value for _, _, value in candidates(t or "", base))
+            rows += [("", a + b, n) for (a, b), n in class_pairs(others).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "n"])
+
+    labelled = df.select(text_col).mapInArrow(values, "kind string, value string, n bigint").withColumn("order", F.xxhash64("value"))
+    pair = F.ascii("value") * 256 + F.ascii(F.substring("value", 2, 1))
+    slot = F.when(F.col("kind") == "", pair).otherwise(F.pmod("order", F.lit(SAMPLE)))
+    picked = labelled.groupBy("kind", slot.alias("slot")).agg(F.min_by("value", F.struct("order", "value")).alias("value"), F.sum("n").alias("n"))
     by_kind: dict[str, list[str]] = defaultdict(list)
+    pairs = {}
     for r in picked.orderBy("kind", "slot").collect():
-        by_kind[r["kind"]].append(r["value"][:512])
-    return {k: Automaton(v) for k, v in by_kind.items()}
+        if r["kind"]:
+            by_kind[r["kind"]].append(r["value"][:512])
+        else:
+            pairs[tuple(r["value"])] = r["n"]
+    return Formats({k: Automaton(v) for k, v in by_kind.items()}, Background(pairs))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", automata: dict[str, Automaton] | None = None) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", automata: Formats | None = None) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of each row, by start, then kind as listed in KINDS."""
     shipped = df.sparkSession.sparkContext.broadcast(learn_formats(df, text_col) if automata is None else automata)
     order = {k: n for n, k in enumerate(KINDS)}
@@ -226,7 +312,7 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", automata: dict[str, Automaton] | None = None) -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", automata: Formats | None = None) -> DataFrame:
     """df with each secret replaced by `mark`, overlapping spans as one; all columns stay and texts without secrets are unchanged."""
     shipped = df.sparkSession.sparkContext.broadcast(learn_formats(df, text_col) if automata is None else automata)
     place, kind = df.columns.index(text_col), pa.string()

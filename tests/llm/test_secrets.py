@@ -57,3 +57,27 @@ def test_redaction(spark):
     assert got[0]["text"] == 'x [secret]" y' and got[1]["text"] == "clean" and got[2]["text"] is None and got[3]["text"] == ""
     assert got[0]["key"] == "clash"
     assert secrets.find_secrets(frame(spark).where("false")).count() == 0
+
+
+def test_formats_of_all_candidates(spark):
+    """Bare credentials that are short, dotted or follow a base span in one token are spans; ordinary words and numbers are not."""
+    import random
+
+    from tests.llm.cases import prose
+
+    rng = random.Random(2)
+
+    def made(n, letters="ABCDEFGHJKLMNPQRSTUVWXYZ0123456789"):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def dotted():
+        return ".".join(made(12) for _ in range(3))
+
+    rows = [(k, f"{prose(60, k)} internationalisation password={made(rng.randint(8, 12)) if k % 2 else dotted()} secretaries 20261128 {prose(40, 500 + k)}") for k in range(240)]
+    bare = [made(10), made(9), dotted(), dotted()]
+    rows += [(1000 + k, f"ordinary {v}. internationalisation") for k, v in enumerate(bare)]
+    rows += [(2000, "f" * 32 + "0" * 8 + made(11)), (2001, "characteristically misunderstandings 20251231 well-established internationalisation")]
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == "format"] for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert [got[1000 + k] for k in range(4)] == [[(9, 9 + len(v))] for v in bare]
+    assert len(got[2000]) == 1 and got[2000][0][1] == 51 and got[2001] == []
+    assert sum(len(got[k]) for k in range(240)) == 0
