@@ -2,15 +2,15 @@
 
 A naive Bayes classifier on whether a document has certain words and word endings, those whose frequency tells the
 domains of a table of labelled rows apart, gives each document posteriors of its domains. Each document then gets a rate of at least 0 such that the expected tokens of
-each domain, the sum of rate * tokens * posterior, meet their targets in the sense of least squares, starting
-from rate 1. Projected gradient steps use tokens as the metric, so that of all solutions the one nearest to
-rate 1 per token is approached, and documents of equal posteriors get equal rates.
+each domain, the sum of rate * tokens * posterior, meet their targets in the sense of least squares, to one part in a
+million of the tokens. With tokens as the metric, of all solutions it is the one nearest to
+rate 1 per token, and documents of equal posteriors get equal rates.
 
 Scale: the classifier's counts come from at most FIT_ROWS labelled rows (least hash); it is at
 most MOST_FEATURES numbers a domain.
 Scoring is per row. As rates depend on posteriors alone, and posteriors are rounded to three places, tokens
-are summed by posterior first; each gradient step is then one small aggregation over at most 10^6
-rows for three domains, and the driver holds one number a domain and step. Nothing is broadcast but the classifier,
+are summed by posterior first; each Newton step is then one small aggregation over at most 10^6
+rows for three domains, and the driver holds one number for each pair of domains. Nothing is broadcast but the classifier,
 and the rates by posterior where Spark finds them small enough.
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; labels with nulls, and labels of unknown
@@ -22,6 +22,7 @@ named columns are read, so extra columns of any name do no harm.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,12 @@ FIT_ROWS = 20_000
 SIGNIFICANT, LEAST_LOG_RATIO = 6.0, 0.7
 #: Rows of overall frequency that each domain's frequencies are smoothed with.
 PRIOR_ROWS = 2.0
-STEPS = 40
+#: Part of the tokens to which the rates are fitted, and the weight of the step's size, which bounds it where no rates meet the targets.
+TOLERANCE, RIDGE = 1e-6, 1e-9
+#: Rounds after which a fit that has not met the tolerance is given up with a warning; it takes about ten.
+MOST_ROUNDS = 200
+
+log = logging.getLogger(__name__)
 
 
 def words(text: Column) -> Column:
@@ -135,39 +141,83 @@ def _dot(p: Column, g: list[float]) -> Column:
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given gradient steps from 1, each projected onto the rates of at least 0."""
+    """The rate after the given steps from 1, each projected onto the rates of at least 0."""
     if not steps:
         return F.lit(1.0)
     history = F.transform(F.split(F.lit(";".join(",".join(f"{x:.17g}" for x in g) for g in steps)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
     return F.aggregate(history, F.lit(1.0), lambda w, g: F.greatest(F.lit(0.0), w - sum((p[k] * g[k] for k in range(len(steps[0]))), F.lit(0.0))))
 
 
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small positive definite system, by elimination."""
+    n = len(right)
+    rows = [[*row, x] for row, x in zip(matrix, right, strict=True)]
+    for k in range(n):
+        for j in range(k + 1, n):
+            f = rows[j][k] / rows[k][k]
+            rows[j] = [x - f * y for x, y in zip(rows[j], rows[k], strict=True)]
+    out = [0.0] * n
+    for k in reversed(range(n)):
+        out[k] = (rows[k][n] - sum(rows[k][j] * out[j] for j in range(k + 1, n))) / rows[k][k]
+    return out
+
+
 def fit_rates(member: DataFrame, targets: list[float], total: float | None = None) -> list[list[float]]:
-    """Gradient steps whose `rate` makes the expected tokens of each domain its target share of `total` tokens; by default the most that needs no domain's tokens more than once."""
+    """Steps whose `rate` makes the expected tokens of each domain its target share of `total` tokens; by default the most that needs no domain's tokens more than once.
+
+    The rates nearest to 1 are max(0, 1 - p * step) for one step, the minimum of a convex function of as many numbers as domains; Newton steps find it. RIDGE makes it
+    finite where no rates meet the targets, and then gives least squares.
+    """
     n = len(targets)
     pooled = settled(member.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")))
     p, t = F.col("p"), F.col("tokens")
-    first = pooled.agg(*(F.sum(t * p[k]).alias(f"s{k}") for k in range(n)), *(F.sum(t * p[j] * p[k]).alias(f"g{j}_{k}") for j in range(n) for k in range(n))).first()
-    have = [first[f"s{k}"] or 0.0 for k in range(n)]
+
+    def sums(step: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """At `step`: expected tokens, their derivatives, and half the squared rates."""
+        w = rate(p, [step])
+        rated = pooled.select("p", "tokens", w.alias("w"))
+        live = F.when(F.col("w") > 0, t).otherwise(F.lit(0.0))
+        got = rated.agg(
+            *(F.sum(F.col("w") * t * p[k]).alias(f"s{k}") for k in range(n)),
+            *(F.sum(live * p[j] * p[k]).alias(f"g{j}_{k}") for j in range(n) for k in range(j + 1)),
+            F.sum(t * F.col("w") * F.col("w") / 2).alias("half"),
+        ).first()
+        return [got[f"s{k}"] or 0.0 for k in range(n)], [[got[f"g{max(j, k)}_{min(j, k)}"] or 0.0 for k in range(n)] for j in range(n)], got["half"] or 0.0
+
+    step = [0.0] * n
+    have, gram, half = sums(step)
     if not sum(have):
         return []
     share = [x / sum(targets) for x in targets]
     if total is None:
         total = min(h / s for h, s in zip(have, share, strict=True) if s > 0)
-    scale = [1 / math.sqrt(first[f"g{k}_{k}"]) if first[f"g{k}_{k}"] else 0.0 for k in range(n)]
-    gram = [[scale[j] * (first[f"g{j}_{k}"] or 0.0) * scale[k] for k in range(n)] for j in range(n)]
-    largest = max(sum(abs(x) for x in row) for row in gram) or 1.0
-    steps: list[list[float]] = []
+    want = [total * s for s in share]
+    ridge = [RIDGE * gram[k][k] or 1.0 for k in range(n)]  # 1: a domain without tokens, whose step stays 0
     now = have
-    for _ in range(STEPS):
-        residual = [x - total * s for x, s in zip(now, share, strict=True)]
-        if max(map(abs, residual)) <= 1e-6 * total:
+
+    def cost(step: list[float], half: float) -> float:
+        return half + sum(w * x + r * x * x / 2 for w, x, r in zip(want, step, ridge, strict=True))
+
+    def slope(step: list[float], now: list[float]) -> list[float]:
+        return [(w - s + r * x) if h else 0.0 for w, s, x, r, h in zip(want, now, step, ridge, have, strict=True)]
+
+    for _ in range(MOST_ROUNDS):
+        down = slope(step, now)
+        if max(map(abs, down)) <= TOLERANCE * total:
             break
-        steps.append([r * s * s / largest for r, s in zip(residual, scale, strict=True)])
-        w = rate(p, steps)
-        got = pooled.select((w * t).alias("m"), "p").agg(*(F.sum(F.col("m") * p[k]).alias(f"s{k}") for k in range(n))).first()
-        now = [got[f"s{k}"] or 0.0 for k in range(n)]
-    return steps
+        move = solved([[x + (ridge[j] if j == k else 0.0) for k, x in enumerate(row)] for j, row in enumerate(gram)], [-x for x in down])
+        fall, before, size = sum(x * y for x, y in zip(down, move, strict=True)), cost(step, half), 1.0
+        while True:
+            tried = [x + size * m for x, m in zip(step, move, strict=True)]
+            now, gram, half = sums(tried)
+            if cost(tried, half) <= before + 1e-4 * size * fall + 1e-12 * abs(before) or size < 1e-12:
+                break
+            size /= 2
+        step = tried
+    else:
+        log.warning("rates after %d rounds: slope %g of %g tokens", MOST_ROUNDS, max(map(abs, slope(step, now))), total)
+    log.info("rates miss the targets by %g of %g tokens at most", max(abs(x - w) for x, w in zip(now, want, strict=True)), total)
+    return [step]
 
 
 def _members(df: DataFrame, labelled: DataFrame, names: list[str], id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:

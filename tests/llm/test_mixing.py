@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shardwise.llm import mixing
@@ -22,6 +23,27 @@ def test_rates_meet_the_targets(spark):
     assert np.allclose(sums / sums.sum(), [0.6, 0.3, 0.1], atol=5e-3)
 
 
+@pytest.mark.parametrize("alpha", [[8, 1, 1], [1, 0.3, 0.3], [0.2, 0.05, 0.05]])
+def test_overlapping_domains_meet_the_targets(spark, alpha):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.dirichlet(alpha, 4000), 3)
+    t = rng.integers(1, 400, 4000)
+    member = spark.createDataFrame([(int(n), [float(y) for y in x]) for n, x in zip(t, p, strict=True)], "tokens long, p array<double>")
+    w, want = np.ones(4000), np.array([0.9, 0.08, 0.02])
+    for g in mixing.fit_rates(member, want.tolist()):
+        w = np.maximum(0, w - p @ np.array(g))
+    total = min((t @ p) / want)
+    assert np.abs((w * t) @ p - total * want).max() <= 2e-6 * total
+
+
+def test_targets_out_of_reach_give_least_squares(spark):
+    member = spark.createDataFrame([(100, [0.5, 0.5]), (300, [0.5, 0.5])], "tokens long, p array<double>")
+    w = 1.0
+    for g in mixing.fit_rates(member, [0.9, 0.1], 300.0):
+        w = max(0.0, w - 0.5 * sum(g))
+    assert abs(w - 0.75) <= 1e-4
+
+
 def test_classifier_on_labelled_documents(spark):
     docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
     named = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("low").alias("domain"))
