@@ -1,14 +1,15 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures, confirmed on full shingle sets.
 
-A signature has COMPONENTS values of 16 bits, the lowest bits of minima of as many hash functions over the shingle set. It is cut
+A signature has COMPONENTS values of 16 bits (more at thresholds below 78 %), the lowest bits of minima of as many hash functions over the shingle set. It is cut
 into chunks of CHUNK values; by the pigeonhole principle two signatures that differ in at most
 D = chunks * (ERRORS + 1) - 1 values differ in at most ERRORS = 1 values of some chunk. Each chunk is listed once with
-each of its values left out, so all such pairs meet under an equal key. With 50 values in ten
-chunks D is 19; at a similarity of 0.85 a pair differs in 7.5 values on average, and in more than 19 with a
-probability below 10^-5.
+each of its values left out, so all such pairs meet under an equal key, and nearly all that differ in some more values do. With 50 values in ten
+chunks D is 19. Pairs that meet are candidates up to an allowed distance that follows from the threshold, such that a pair at exactly the
+threshold is missed, by its keys or by its distance, with a probability below MISS = 10^-5: at 80 % 23 values of 50
+are allowed (missed with 9.8 * 10^-6), at 85 % 20 (3.9 * 10^-6).
 
 1. Documents of equal shingle sets form a class, known by a 64-bit hash of the set; only classes go on.
-2. Keys that two classes share make candidates: within a key a spanning forest of the pairs within distance D. Keys of more than
+2. Keys that two classes share make candidates: within a key a spanning forest of the pairs within the allowed distance. Keys of more than
    HOT classes link all to their least class instead: more candidates, but no pairs are made.
 3. Candidates fall into components. A component of more than BLOCK classes is dealt into blocks, and each pair of
    blocks is one group of bounded size, so that all pairs of a component are confirmed on full sets
@@ -26,6 +27,7 @@ different sets share a class with a probability of about 2^-64 a pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,30 @@ DISTANCE = COMPONENTS // CHUNK * (ERRORS + 1) - 1
 #: Classes under one key from which they are linked to their least one; classes in a block.
 HOT, BLOCK = 512, 128
 
-_FACTORS = mix64(np.arange(1, COMPONENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bound of the probability that a pair at exactly the threshold is no candidate.
+MISS = 1e-5
+
+
+def miss_rate(percent: int, components: int, distance: int) -> float:
+    """Bound of the probability that a pair of similarity percent / 100 shares no key or differs in more than `distance` of `components` values."""
+    same = percent / 100
+    apart = 1 - same
+    meets = same**CHUNK + CHUNK * apart * same ** (CHUNK - 1)
+    return (1 - meets) ** (components // CHUNK) + sum(math.comb(components, k) * apart**k * same ** (components - k) for k in range(distance + 1, components + 1))
+
+
+def allowed(percent: int) -> tuple[int, int]:
+    """The number of values of a signature, COMPONENTS at least, and the allowed distance for which `miss_rate` is below MISS."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"no threshold: {percent} %")
+    components = COMPONENTS
+    while miss_rate(percent, components, components) > MISS / 2:
+        components += CHUNK
+    return components, next(d for d in range(components + 1) if miss_rate(percent, components, d) < MISS)
+
+
+def _factors(components: int) -> np.ndarray:
+    return mix64(np.arange(1, components + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def set_classes(sets: list[np.ndarray]) -> np.ndarray:
@@ -53,14 +78,14 @@ def set_classes(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(sizes > 0, range_hash(prefix_hash(mix64(flat)), ends - sizes, ends), np.uint64(0)).view(np.int64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], components: int = COMPONENTS) -> np.ndarray:
     """The signature of each set (rows); all zero for an empty one."""
-    out = np.zeros((len(sets), COMPONENTS), dtype=np.uint16)
+    out = np.zeros((len(sets), components), dtype=np.uint16)
     full = [k for k, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[k] for k in full])
         starts = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full])[:-1]])
-        for c, factor in enumerate(_FACTORS):
+        for c, factor in enumerate(_factors(components)):
             out[full, c] = mix64(np.minimum.reduceat(flat * factor >> np.uint64(24), starts)).astype(np.uint16)
     return out
 
@@ -69,7 +94,7 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
     """For each signature (rows) one key for each chunk and each of its values left out."""
     keys = []
     values = signature.astype(np.uint64)
-    for chunk in range(COMPONENTS // CHUNK):
+    for chunk in range(values.shape[1] // CHUNK):
         for out in range(CHUNK):
             key = np.full(len(values), chunk * CHUNK + out + 1, dtype=np.uint64)
             for c in range(chunk * CHUNK, (chunk + 1) * CHUNK):
@@ -116,26 +141,26 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield rest
 
 
-def sketch(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def sketch(df: DataFrame, words: int, components: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, class, signature) of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             sets = shingle_sets(*string_buffer(batch.column(1)), words)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_classes(sets)), pa.array([s.tobytes() for s in signatures(sets)], pa.binary())]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_classes(sets)), pa.array([s.tobytes() for s in signatures(sets, components)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "class", "signature"])
 
     return df.select(id_col, text_col).mapInArrow(make, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles bigint, class bigint, signature binary")
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links whose components hold all pairs of nodes (class, signature) within DISTANCE."""
+def candidate_links(nodes: DataFrame, components: int, distance: int) -> DataFrame:
+    """(a, b): links whose components hold all pairs of nodes (class, signature of so many components) that share a key and are within the distance."""
 
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
-                keys = chunk_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, COMPONENTS))
+                keys = chunk_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, components))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "class"])
 
     keyed = nodes.select("class", "signature").mapInArrow(list_keys, "key bigint, class bigint")
@@ -146,10 +171,10 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         left, right = [], []
         for g in groups(batches, 1):
             ids = g.column("class").to_pylist()
-            values = np.frombuffer(b"".join(g.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, COMPONENTS)
+            values = np.frombuffer(b"".join(g.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, components)
             parts = _Forest(len(ids))
             for k in range(len(ids) - 1):
-                near = (values[k + 1 :] != values[k]).sum(1) <= DISTANCE
+                near = (values[k + 1 :] != values[k]).sum(1) <= distance
                 for j in np.flatnonzero(near) + k + 1:
                     if parts.join(k, int(j)):
                         left.append(ids[k])
@@ -215,9 +240,10 @@ def confirmed_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, word
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: documents with at least `percent` % of their joint `words`-word shingles in common are linked."""
-    made = settled(sketch(df, words, id_col, text_col))
+    size, distance = allowed(percent)
+    made = settled(sketch(df, words, size, id_col, text_col))
     nodes = settled(made.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
-    candidates = settled(connected_components(candidate_links(nodes)))
+    candidates = settled(connected_components(candidate_links(nodes, size, distance)))
     components = connected_components(confirmed_links(df, nodes, candidates, words, percent, id_col, text_col))
     rooted = nodes.select("class", "id").join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("class", "component_id")

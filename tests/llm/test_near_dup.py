@@ -70,6 +70,19 @@ def test_keys_cover_the_distance():
         assert (ka == kb).any()
 
 
+def test_pair_with_many_different_values(spark):
+    """36 of 44 shingles in common, and 20 of 50 values of the signatures different."""
+    common = " ".join(f"s5327x{k}" for k in range(40))
+    rows = [(k, common + "".join(f" {c}5327x{j}" for j in js)) for k, (c, js) in enumerate([("s", range(40, 44)), ("t", range(4))])]
+    assert found(frame(spark, rows), 5, 80) == brute(rows, 5, 80) == [(0, 40, 0), (1, 40, 0)]
+
+
+def test_miss_rates():
+    for percent, most in ((50, 400), (70, 100), (80, 50), (85, 50), (100, 50)):
+        components, distance = near_dup.allowed(percent)
+        assert components <= most and near_dup.miss_rate(percent, components, distance) < 1e-5
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
