@@ -5,12 +5,14 @@ least hash (the leftmost of equals), so equal windows have equal anchors at equa
 with distances in one stretch of `width` form a segment; its key is a hash of the bytes that all windows of
 that stretch share, its content is the bytes its windows cover. Then:
 
-1. Keys that occur once are done: their windows are unique. Where all segments of a key are equal, all their windows repeat.
+1. Keys that occur once are done: their windows are unique. Where all segments of a key are equal, all their windows repeat; here
+   equal 64-bit hashes of the bytes stand for equal bytes, and no suffix array is needed.
 2. The distinct segments of every other key are brought together with their counts, many small keys in one batch, and a suffix array
    of the batch is built by linear grouping (see `suffixes`). A window repeats if its neighbour in the order has equal
-   first LENGTH bytes, or its segment occurs more than once.
+   first LENGTH bytes, which are compared as bytes, or its segment occurs more than once.
 3. A key of more than HOT distinct segments is not gathered: its segments are cut to a narrower width, whose keys hold more
-   of the windows, and steps 1 to 3 run on the parts, where equal parts of many segments are compared as one. At width 1 the key is the whole window and nothing is left to compare.
+   of the windows, and steps 1 to 3 run on the parts, where equal parts of many segments are compared as one. At width 1 the key is a hash of the whole window and nothing is left to compare, so the windows of a passage
+   that more than HOT different surroundings share are found by hashes alone.
 
 Scale: the first pass sends one short row for about a hundred bytes of text, counted before shuffles where keys are equal; texts
 move by id to the few segments to be compared and once more for the result. Groups hold at most HOT segments of less than
@@ -18,8 +20,8 @@ move by id to the few segments to be compared and once more for the result. Grou
 
 Defined results: a null text counts as empty; texts of fewer than LENGTH bytes lose nothing; windows never cross texts; a repeated
 row is another place where its strings start, so both rows lose what they share; rows are told apart by two 64-bit hashes of id and text. An empty table
-gives an empty table. Only the named columns are read. Windows are compared by 64-bit hashes next to each other in
-suffix order.
+gives an empty table. Only the named columns are read. Texts of more than SLICE_BYTES are read in pieces
+that overlap by LENGTH - 1 bytes, so a task needs a few times a piece, and the text itself, whatever its length.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.bytetext import byte_codes, mix64, prefix_hash, range_hash, sliced, string_buffer
 from shardwise.llm.near_dup import groups
-from shardwise.llm.storage import settled
+from shardwise.llm.storage import gathered, settled
 from shardwise.llm.suffixes import byte_suffix_order
 
 LENGTH, GRAM = 400, 16
@@ -77,19 +79,22 @@ def list_segments(df: DataFrame, length: int, gram: int, width: int) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_BYTES):
-            raw, offsets = string_buffer(batch.column(2))
-            counts = np.maximum(np.diff(offsets) - length + 1, 0)
-            if not counts.sum():
-                continue
-            prefix = prefix_hash(byte_codes(raw))
-            row = np.repeat(np.arange(len(counts)), counts)
-            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = offsets[row] + at
-            anchor = anchors(raw, prefix, length, gram)[start]
-            key, content, first, windows = cut_segments(prefix, start, anchor, at == 0, width, length)
-            owner = pa.array(row[first])
-            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(key), pa.array(content), pa.array(at[first].astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((anchor - start)[first].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "twin", "key", "content", "start", "windows", "reach"])
+            whole, bounds = string_buffer(batch.column(2))
+            for piece in range(0, max(len(whole) - length + 1, 0), SLICE_BYTES) if batch.num_rows == 1 else (0,):
+                raw, offsets = (whole[piece : piece + SLICE_BYTES + length - 1], None) if batch.num_rows == 1 else (whole, bounds)
+                offsets = np.array([0, len(raw)]) if offsets is None else offsets
+                counts = np.maximum(np.diff(offsets) - length + 1, 0)
+                if not counts.sum():
+                    continue
+                prefix = prefix_hash(byte_codes(raw))
+                row = np.repeat(np.arange(len(counts)), counts)
+                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = offsets[row] + at
+                anchor = anchors(raw, prefix, length, gram)[start]
+                key, content, first, windows = cut_segments(prefix, start, anchor, at == 0, width, length)
+                owner = pa.array(row[first])
+                columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(key), pa.array(content), pa.array((piece + at[first]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((anchor - start)[first].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "twin", "key", "content", "start", "windows", "reach"])
 
     return df.select("doc", "twin", "text").mapInArrow(cut, "doc bigint, twin bigint, key bigint, content bigint, start int, windows int, reach int")
 
@@ -118,6 +123,18 @@ def recut(segments: DataFrame, width: int, length: int) -> DataFrame:
     )
 
 
+def equal_neighbours(raw: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """For each place of `order` but the last whether it and the next have equal `length` bytes. Hashes tell most apart, bytes decide."""
+    hashes = range_hash(prefix_hash(byte_codes(raw)), order, order + length)
+    same = hashes[1:] == hashes[:-1]
+    windows = np.lib.stride_tricks.sliding_window_view(raw, length) if len(raw) >= length else raw.reshape(-1, 1)
+    likely = np.flatnonzero(same)
+    for k in range(0, len(likely), 8192):
+        some = likely[k : k + 8192]
+        same[some] = (windows[order[some]] == windows[order[some + 1]]).all(axis=1)
+    return same
+
+
 def compare(segments: DataFrame, length: int) -> DataFrame:
     """(key, content, first, last): runs of repeating windows of each distinct segment (key, content, times, windows, data); all segments of a key get into one suffix array."""
 
@@ -129,8 +146,7 @@ def compare(segments: DataFrame, length: int) -> DataFrame:
         owner = np.searchsorted(offsets, order, side="right") - 1
         valid = order - offsets[owner] < windows[owner]
         order = order[valid]
-        hashes = range_hash(prefix_hash(byte_codes(raw)), order, order + length)
-        same = hashes[1:] == hashes[:-1]
+        same = equal_neighbours(raw, order, length)
         repeats = np.zeros(len(raw) + 1, dtype=bool)
         repeats[order[1:][same]] = True
         repeats[order[:-1][same]] = True
@@ -157,8 +173,7 @@ def compare(segments: DataFrame, length: int) -> DataFrame:
             yield judge(kept)
 
     tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as a byte takes longer here than Spark assumes
-    dealt = segments.select("key", "content", "times", "windows", "data").repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key bigint, content bigint, first int, last int")
+    return gathered(segments.select("key", "content", "times", "windows", "data"), "key", partitions=tasks).mapInArrow(run, "key bigint, content bigint, first int, last int")
 
 
 def _by_key(parts: DataFrame, times: str) -> DataFrame:
@@ -203,6 +218,16 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     return plain.unionByName(mixed.select("doc", "twin", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("stop")))
 
 
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[list[int], list[int]]:
+    """The maximal runs that the spans from start to stop cover, in order."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    first = np.ones(len(start), dtype=bool)
+    first[1:] = start[1:] > reach[:-1]
+    last = np.append(first[1:], True)[: len(start)]
+    return start[first].tolist(), reach[last].tolist()
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array<struct<start, stop>>, kept binary) of each row: the maximal removed runs, and the bytes that stay."""
     told = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc"), F.xxhash64(text_col).alias("twin"))
@@ -213,24 +238,18 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_BYTES):
             raw, offsets = string_buffer(batch.column(1))
-            removed = np.zeros(len(raw) + 1, dtype=np.int32)
-            for k, own in enumerate(batch.column(2)):
-                if own.is_valid:
-                    values = own.values
-                    np.add.at(removed, offsets[k] + values.field(0).to_numpy(), 1)
-                    np.add.at(removed, offsets[k] + values.field(1).to_numpy(), -1)
-            gone = np.cumsum(removed)[:-1] > 0
             listed, kept = [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                part = gone[a:b]
-                kept.append(raw[a:b][~part].tobytes())
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], part, [False]]).astype(np.int8)))
-                listed.append([{"start": s, "stop": e} for s, e in edges.reshape(-1, 2).tolist()])
+            for k, own in enumerate(batch.column(2)):
+                text = raw[offsets[k] : offsets[k + 1]]
+                start, stop = merged(own.values.field(0).to_numpy(), own.values.field(1).to_numpy()) if own.is_valid else merged(np.zeros(0, int), np.zeros(0, int))
+                kept.append(b"".join(text[a:b].tobytes() for a, b in zip([0, *stop], [*start, len(text)], strict=True)))
+                listed.append([{"start": a, "stop": b} for a, b in zip(start, stop, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(listed, runs), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(remove, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary")
 
 
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Byte counts, the number of removed runs and a digest of what stays."""
-    return removed.select(id_col, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Byte counts, the number of removed runs, and a digest and the number of the bytes that stay."""
+    stays = F.octet_length("kept").cast("long")
+    return removed.select(id_col, "n_bytes", (F.col("n_bytes") - stays).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), stays.alias("n_kept"))

@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset a temporary one, in local mode alone, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(folder)
     return folder
 
@@ -21,3 +26,13 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def gathered(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """df with rows of equal keys in one partition, next to each other.
+
+    Dealt by a hash of the keys: where a join has already dealt rows by the plain keys, the planner leaves out another
+    repartition by them, and adaptive execution may then read that join's partitions in pieces, which parts equal keys.
+    """
+    dealt = F.xxhash64(*keys)
+    return (df.repartition(dealt) if partitions is None else df.repartition(partitions, dealt)).sortWithinPartitions(*keys)
