@@ -154,8 +154,13 @@ class Store:
         )
 
     def scratch(self) -> str:
-        """A new folder in the shared folder of spark.checkpoint.dir; where that is unset, as in tests, in a temporary one."""
-        return f"{self.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
+        """A new folder in the shared folder of spark.checkpoint.dir; where that is unset, in a temporary one, in local mode alone, as in tests."""
+        folder, master = self.spark.conf.get("spark.checkpoint.dir", None), self.spark.sparkContext.master
+        if folder is None:
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        return f"{folder}/{uuid.uuid4().hex}"
 
 
 TABLES_SQL = """WITH pg AS (
