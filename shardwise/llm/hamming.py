@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwise.llm.storage import settled
+from shardwise.llm.storage import Tables, settled
 
 SEGMENT = 16
 
@@ -62,6 +62,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, id_col:
     active = settled(asked.select("query").distinct().withColumn("worst", F.lit(bits)))
     best = Window.partitionBy("query").orderBy("distance", "id")
     found = done = None
+    tables = Tables(spark)
     for radius in range(SEGMENT + 1):
         probe = active.select("query", "worst", F.posexplode("query").alias("segment", "own")).withColumn("mask", F.explode(_mask_column(radius)))
         probe = probe.select("query", "worst", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
@@ -72,10 +73,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, id_col:
             useful &= (F.col("segment") == j) | F.when(F.col("segment") > j, d > radius).otherwise(d >= radius)
         met = probe.join(index, ["segment", "value"]).where(useful).select("query", F.explode("ids").alias("id"), distance(F.col("query"), F.col("code"), segments).alias("distance"))
         met = met if found is None else met.unionByName(found.join(active, "query", "left_semi"))
-        found = settled(met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+        found = tables.written(met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
         covered = segments * (radius + 1) - 1
         known = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") >= k).select("query", "kth")
-        state = settled(active.join(known, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("worst"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(radius == SEGMENT)).alias("finished")))
+        state = tables.written(active.join(known, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("worst"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(radius == SEGMENT)).alias("finished")))
         ended = found.join(state.where("finished").select("query"), "query", "left_semi")
         done = ended if done is None else done.unionByName(ended)
         active = state.where("NOT finished").select("query", "worst")

@@ -11,17 +11,20 @@ are allowed (missed with 9.8 * 10^-6), at 85 % 20 (3.9 * 10^-6).
 1. Documents of equal shingle sets form a class, known by a 64-bit hash of the set; only classes go on.
 2. Keys that two classes share make candidates: within a key a spanning forest of the pairs within the allowed distance. Keys of more than
    HOT classes link all to their least class instead: more candidates, but no pairs are made.
-3. Candidates fall into components. A component of more than BLOCK classes is dealt into blocks, and each pair of
-   blocks is one group of bounded size, so that all pairs of a component are confirmed on full sets
-   without a row for each pair; each group returns a spanning forest of its links.
+3. Candidates fall into components. A component of more than BLOCK classes is dealt into blocks; each block is compared in itself, on full
+   sets, and with the component's least class. Most components are one cluster of links then. Where some are not, classes are
+   dealt into blocks anew, by cluster, and each pair of blocks that are not of one cluster is a group of
+   bounded size in which pairs across clusters are compared. So no link is lost, there is no row for each pair, and
+   what grows with the square of a component is only the part that its clusters leave unsettled. Each group returns a spanning forest of its links.
 4. The components of the links are the near-duplicate groups.
 
-Scale: work on keys is combined before shuffles, by count, least and greatest class; texts move only for classes with a candidate.
+Scale: work on keys is combined before shuffles, by count, least and greatest class; texts move only for classes with a candidate, one text a class.
 
 Defined results: words are runs of bytes other than 9 to 13 and 32, A-Z lower-cased. A document of fewer words than a shingle has one
 shingle, its whole sequence; null text, or text without words, has none and is linked with nothing. Repeated rows and
-copies share a class; the component's id is the least id in it, so ties cannot occur; a null id is ignored in that minimum, and
-its own component is null if it has no links. An empty table gives an empty table. Only the named columns are read. Two
+copies share a class; the component's id is the least id in it, so ties cannot occur. A null id links documents like any other; it is ignored
+in that minimum, so the component's id is null only where all ids in it are, and `kept` is true where id and component id are equal or both
+null. An empty table gives an empty table. Only the named columns are read. Two
 different sets share a class with a probability of about 2^-64 a pair.
 """
 
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.bytetext import mix64, prefix_hash, range_hash, shingle_sets, sliced, string_buffer
 from shardwise.llm.graph import connected_components
-from shardwise.llm.storage import settled
+from shardwise.llm.storage import gathered, settled
 
 COMPONENTS, CHUNK, ERRORS = 50, 5, 1
 DISTANCE = COMPONENTS // CHUNK * (ERRORS + 1) - 1
@@ -142,15 +145,15 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
 
 
 def sketch(df: DataFrame, words: int, components: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, class, signature) of each row."""
+    """(id, row, n_shingles, class, signature) of each row; `row` is a hash of id and text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             sets = shingle_sets(*string_buffer(batch.column(1)), words)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_classes(sets)), pa.array([s.tobytes() for s in signatures(sets, components)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "class", "signature"])
+            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_classes(sets)), pa.array([s.tobytes() for s in signatures(sets, components)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_shingles", "class", "signature"])
 
-    return df.select(id_col, text_col).mapInArrow(make, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles bigint, class bigint, signature binary")
+    return df.select(id_col, text_col, F.xxhash64(id_col, text_col)).mapInArrow(make, f"id {df.schema[id_col].dataType.simpleString()}, row bigint, n_shingles bigint, class bigint, signature binary")
 
 
 def candidate_links(nodes: DataFrame, components: int, distance: int) -> DataFrame:
@@ -185,66 +188,111 @@ def candidate_links(nodes: DataFrame, components: int, distance: int) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     small = members.where(F.col("n") <= HOT).select("key", "class").join(nodes.select("class", "signature"), "class").select("key", "class", "signature")
-    found = small.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(forest, "a bigint, b bigint")
+    found = gathered(small, "key").mapInArrow(forest, "a bigint, b bigint")
     stars = members.where((F.col("n") > HOT) & (F.col("class") != F.col("low"))).select(F.col("class").alias("a"), F.col("low").alias("b"))
     return found.unionByName(stars).distinct()
 
 
-def confirmed_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of classes in one candidate component (node, root) with enough common shingles."""
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    dealt = candidates.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = dealt.join(nodes.select(F.col("class").alias("node"), "id"), "node")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("text", "node", "root", "block", "blocks")
+def full_sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `wanted` (node, and bigint columns) with `shingles`, the full set of each node, from the text of one of its rows."""
+    kept = wanted.columns
+    rows = wanted.join(nodes.select(F.col("class").alias("node"), "row", "copies"), "node")
+    found = df.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(rows, "row")
+    texts = found.select(*kept, "text")
+    if nodes.where("copies > 1").take(1):  # of rows that are repeated, id and all, one
+        texts = found.where("copies = 1").select(*kept, "text").unionByName(found.where("copies > 1").groupBy(*kept).agg(F.min("text").alias("text")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            sets = shingle_sets(*string_buffer(batch.column(0)), words)
-            own = pa.array(set_classes(sets) == batch.column(1).to_numpy())  # a repeated id may come with another text
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "block", "blocks", "shingles"]).filter(own)
+            sets = shingle_sets(*string_buffer(batch.column(len(kept))), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "shingles"])
+
+    return texts.mapInArrow(sets_of, ", ".join(f"`{c}` bigint" for c in kept) + ", shingles binary")
+
 
-    full = texts.mapInArrow(sets_of, "node bigint, root bigint, block int, blocks int, shingles binary")
-    paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "shingles")
+def links_within(full: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links in each group of rows (keys, node, block, cluster, shingles). In a group whose last two keys differ, pairs of one block are not compared; pairs of one cluster never are."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 3):
+        for g in groups(batches, len(keys)):
             ids, first = np.unique(g.column("node").to_numpy(), return_index=True)
             if len(ids) < 2:
                 continue
-            block = g.column("block").to_numpy()[first]
-            raw = g.column("shingles").take(pa.array(first)).to_pylist()
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in raw]
+            block, cluster = (g.column(c).to_numpy()[first] for c in ("block", "cluster"))
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in g.column("shingles").take(pa.array(first)).to_pylist()]
             sizes = np.array([len(s) for s in sets])
             starts = np.cumsum(sizes) - sizes
             values, codes = np.unique(np.concatenate(sets), return_inverse=True)
             marked = np.zeros(len(values), dtype=np.int32)
-            across = g.column("i")[0] != g.column("j")[0]
+            across = g.column(keys[-2])[0] != g.column(keys[-1])[0]
             parts, left, right = _Forest(len(ids)), [], []
             for k in range(len(ids) - 1):
+                apart = cluster[k + 1 :] != cluster[k]
+                if across:
+                    apart &= block[k + 1 :] != block[k]
+                if not apart.any():
+                    continue
                 own = codes[starts[k] : starts[k] + sizes[k]]
                 marked[own] = 1
                 common = np.add.reduceat(marked[codes[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1])
                 marked[own] = 0
-                linked = 100 * common >= percent * (sizes[k] + sizes[k + 1 :] - common)
-                if across:
-                    linked &= block[k + 1 :] != block[k]
+                linked = apart & (100 * common >= percent * (sizes[k] + sizes[k + 1 :] - common))
                 for j in np.flatnonzero(linked) + k + 1:
                     if parts.join(k, int(j)):
                         left.append(ids[k])
                         right.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return paired.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j").mapInArrow(confirm, "a bigint, b bigint").distinct()
+    return gathered(full.select(*keys, "node", "block", "cluster", "shingles"), *keys).mapInArrow(confirm, "a bigint, b bigint").distinct()
+
+
+def pairs_of_blocks(open_nodes: DataFrame) -> DataFrame:
+    """(root, i, j, node, block, cluster): each node (node, root, cluster) in every group of two blocks, or of one, that may hold links across clusters.
+
+    Clusters of at least BLOCK nodes have blocks of their own; the others share blocks. Groups of blocks of one cluster, and a cluster's own block by itself, are left out.
+    """
+    sizes = open_nodes.groupBy("root", "cluster").agg(F.count("*").alias("size")).withColumn("alone", F.col("size") >= BLOCK)
+    sizes = sizes.withColumn("owner", F.when(F.col("alone"), F.col("cluster")).otherwise(F.lit(0)))
+    shared = sizes.groupBy("root", "alone", "owner").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("parts"))
+    spread = settled(sizes.join(shared, ["root", "alone", "owner"]).select("root", "cluster", "alone", "owner", "parts"))
+    placed = open_nodes.join(spread, ["root", "cluster"]).withColumn("block", F.xxhash64("alone", "owner", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    placed = settled(placed.select("root", "node", "cluster", F.when(F.col("alone"), F.col("owner")).alias("owner"), "block"))
+    blocks = placed.groupBy("root", "block").agg(F.first("owner").alias("owner"))
+    left, right = blocks.select("root", F.col("block").alias("i"), F.col("owner").alias("of_i")), blocks.select("root", F.col("block").alias("j"), F.col("owner").alias("of_j"))
+    pairs = left.join(right, "root").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("of_i") == F.col("of_j"), F.lit(False))).select("root", "i", "j")
+    member = pairs.select("root", "i", "j", F.col("i").alias("block")).unionByName(pairs.where("i <> j").select("root", "i", "j", F.col("j").alias("block")))
+    return placed.select("root", "node", "cluster", "block").join(member, ["root", "block"])
+
+
+def confirmed_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of classes in one candidate component (node, root) with enough common shingles."""
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    dealt = candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    full = full_sets(df, nodes, dealt.select("node", "root", "block", "blocks"), words, id_col, text_col)
+    homes = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    full = full.withColumn("i", F.explode(homes)).withColumns({"j": F.col("i"), "cluster": F.col("node")})
+    links = settled(links_within(full, ["root", "i", "j"], percent))
+    large = dealt.where("blocks > 1").select("node", "root")
+    clusters = connected_components(links).select("node", F.col("root").alias("cluster"))
+    large = settled(large.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+    apart = large.groupBy("root").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("root")
+    unsettled = settled(large.join(apart, "root", "left_semi"))
+    if not unsettled.take(1):
+        return links
+    more = full_sets(df, nodes, pairs_of_blocks(unsettled), words, id_col, text_col)
+    return links.unionByName(links_within(more, ["root", "i", "j"], percent))
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: documents with at least `percent` % of their joint `words`-word shingles in common are linked."""
     size, distance = allowed(percent)
     made = settled(sketch(df, words, size, id_col, text_col))
-    nodes = settled(made.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
+    rows = made.where("n_shingles > 0").groupBy("class", "row").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+    nodes = rows.groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.min(F.struct("row", "copies")).alias("least"))
+    nodes = settled(nodes.select("class", "id", "signature", "least.row", "least.copies"))
     candidates = settled(connected_components(candidate_links(nodes, size, distance)))
     components = connected_components(confirmed_links(df, nodes, candidates, words, percent, id_col, text_col))
     rooted = nodes.select("class", "id").join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = settled(rooted)  # so that Spark can split a hot root
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("class", "component_id")
-    return made.join(named, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return made.join(named, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

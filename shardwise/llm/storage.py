@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written to the shared checkpoint folder, for loops: unlike a checkpoint, a table that is read again has its files' size and not
+    one multiplied by each join before it, which in a loop soon has more digits than the planner can handle.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}", []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop_all_but(self, last: int) -> None:
+        """Deletes all tables but the `last` ones."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in self.paths[:-last]:
+            hadoop(path).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+
+
 def gathered(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
     """df with rows of equal keys in one partition, next to each other.
 

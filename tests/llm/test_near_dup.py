@@ -57,6 +57,44 @@ def test_large_components_in_blocks_and_hot_keys(spark, monkeypatch):
     assert found(frame(spark, rows), 3, 85) == brute(rows, 3, 85)
 
 
+def test_null_ids_link(spark):
+    """A row without an id between two others, a pair of rows without ids, and a repeated row."""
+    base = prose(200, 21).split(" ")
+
+    def edited(*at):
+        return " ".join("edit" if k in at else w for k, w in enumerate(base))
+
+    rows = [(1, edited(10, 20, 30, 40, 50)), (None, edited()), (3, edited(100, 110, 120, 130, 140)), (None, prose(90, 22)), (None, prose(90, 22)), *[(9, prose(80, 23))] * 5, (8, prose(80, 23) + " more")]
+    assert found(frame(spark, rows), 3, 85) == brute(rows, 3, 85)
+    got = near_dup.near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (3, 1, False), (None, 1, False), (None, None, True), (8, 8, True), (9, 8, False)}
+
+
+def test_clusters_of_a_component_are_compared(spark, monkeypatch):
+    """Two large clusters and some single classes in one candidate component: only links across clusters are left to the second pass."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng, rows = random.Random(8), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    for c in range(3):
+        own = list(base)
+        for k in range(c * 8):
+            own[k * 6 + 2] = f"c{c}x{k}"
+        for k in range(14):
+            words = list(own)
+            words[rng.randrange(200)] = f"e{k}"
+            rows.append((100 * c + k, " ".join(words)))
+    for k in range(6):
+        words = list(base)
+        for _ in range(9 + k):
+            words[rng.randrange(200)] = f"s{k}"
+        rows.append((900 + k, " ".join(words)))
+    rng.shuffle(rows)
+    called = []
+    monkeypatch.setattr(near_dup, "pairs_of_blocks", lambda df, make=near_dup.pairs_of_blocks: called.append(1) or make(df))
+    assert found(frame(spark, rows), 3, 85) == brute(rows, 3, 85)
+    assert called
+
+
 def test_keys_cover_the_distance():
     import numpy as np
 
