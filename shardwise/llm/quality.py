@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams of bytes are compared: one of target text (labelled rows of
-quality 1 that are not toxic), one of the raw corpus. A document's log weight is the mean log ratio of its
-n-grams, times their number up to `EVIDENCE`; Gumbel noise is added and the documents with the k largest sums are
+quality 1 that are not toxic), one of the raw corpus. A document's log weight is the log ratio of its n-grams under the two models,
+whatever its length; Gumbel noise is added and the documents with the k largest sums are
 kept. That draws k documents without replacement in proportion to their weights. k is the share of
 quality-1 rows among the labelled ones, of all documents.
 
@@ -11,8 +11,8 @@ non-empty buckets (at most BUCKETS). The models are BUCKETS numbers each on the
 is fitted on at most TARGET_ROWS labelled rows, those of least hash. The k-th largest sum is
 found by a radix search over counts, so nothing is sorted and one task never sees all documents.
 
-Defined results: a null or empty text has no n-grams, log weight 0 and takes part like any other; ties of the sums
-go to the smaller id, and rows that are equal in both are kept together; labels with nulls
+Defined results: a null or empty text has no n-grams, log weight 0 and takes part like any other; documents that tie with
+the k-th sum go by a hash of their ids, and only repeated rows of one id can tie in that too and are kept together; labels with nulls
 are ignored and repeated labels count once; without target rows or labels all documents are kept; an empty
 table gives an empty table. Only the named columns are read, so extra columns of any name do no harm.
 """
@@ -34,8 +34,6 @@ NGRAM = 4
 BUCKETS = 1 << 18
 #: Bound of the sample of labelled target rows that the target model is fitted on.
 TARGET_ROWS = 20_000
-#: n-grams from which a document's evidence counts in full.
-EVIDENCE = 256
 #: Pseudo-counts of the raw model in the target model, as a share of the target's n-grams.
 SMOOTHING = 1e-3
 
@@ -90,9 +88,8 @@ def weigh(df: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -> DataF
         for batch in sliced(batches, text_col):
             buckets, bounds = gram_buckets(*string_buffer(batch.column(1)))
             sums = np.concatenate([[0.0], np.cumsum(shipped.value[buckets])])
-            counts = np.diff(bounds)
-            weights = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(counts, 1) * np.minimum(counts, EVIDENCE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(np.round(weights, 6))], names=[id_col, "n_grams", "log_weight"])
+            weights = sums[bounds[1:]] - sums[bounds[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(np.round(weights, 6))], names=[id_col, "n_grams", "log_weight"])
 
     return df.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_grams bigint, log_weight double")
 
@@ -103,10 +100,16 @@ def gumbel(id_col: str, seed: int = 8) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def top_k(df: DataFrame, k: int, by: str) -> DataFrame:
-    """Adds `kept`: whether the row's value of the bigint column `by` is among the k largest; rows that tie with the k-th are kept too. A radix search, eight passes over counts of one byte each."""
+def top_k(df: DataFrame, k: int, by: str, tie: str) -> DataFrame:
+    """Adds `kept`: whether the row is among the k largest by the bigint columns `by`, then `tie`; rows that are equal in both are kept or not together. A radix search, four passes over counts of 16 bits each."""
     least = _kth_largest(df, k, by)
-    return df.withColumn("kept", F.lit(False) if least is None else F.col(by) >= F.lit(least))
+    if least is None:
+        return df.withColumn("kept", F.lit(False))
+    above, level = df.agg(F.count_if(F.col(by) > least), F.count_if(F.col(by) == least)).first()
+    if above + level <= k:
+        return df.withColumn("kept", F.col(by) >= least)
+    last = _kth_largest(df.where(F.col(by) == least), k - above, tie)
+    return df.withColumn("kept", (F.col(by) > least) | ((F.col(by) == least) & (F.col(tie) >= last)))
 
 
 def _kth_largest(df: DataFrame, k: int, by: str) -> int | None:
@@ -138,5 +141,5 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     total = scored.count()
     k = total if share is None or not good.take(1) else math.ceil(share * total)
-    ranked = scored.withColumn("order_key", F.round(F.col("score") * 1e6).cast("long"))
-    return top_k(ranked, k, "order_key").drop("order_key")
+    ranked = scored.withColumns({"order_key": F.round(F.col("score") * 1e6).cast("long"), "tie_key": F.xxhash64(id_col)})
+    return top_k(ranked, k, "order_key", "tie_key").drop("order_key", "tie_key")
