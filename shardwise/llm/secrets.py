@@ -1,7 +1,7 @@
 """Secret scans: fixed base patterns, and formats learned by grammar inference.
 
 Base spans are leftmost, non-overlapping matches of three fixed patterns. Their matched values are labelled
-credentials: for each kind a bounded sample becomes a prefix tree over character classes, and states with
+credentials: for each kind a bounded sample of those of at most LONGEST characters becomes a prefix tree over character classes, and states with
 statistically compatible futures (Hoeffding's bound on each outgoing and ending frequency) are merged into a
 probabilistic automaton. Every other token of a text that could be a credential, the rest of one that a base span
 covers in part included, is then scored by its
@@ -39,13 +39,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: Labelled credentials of each kind that automata are learned from.
-SAMPLE = 256
+#: Labelled credentials of each kind that automata are learned from, and how long those are at most; longer ones are scored, not learned from.
+SAMPLE, LONGEST = 256, 512
 #: Hoeffding confidence parameter of the merge test.
 ALPHA = 0.05
-#: Letters, digits and marks that a candidate is made of.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 LEAST_CANDIDATE = min(LEAST.values())
+#: Letters, digits and marks that a candidate is made of.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CANDIDATE)
 #: How many times likelier a candidate must be in a learned format than among all candidates.
 RATIO = 1000.0
 #: Verdicts on short candidates that a worker keeps.
@@ -137,7 +137,6 @@ class Automaton:
                 for c, y in children[r].items():
                     if y not in known and y not in blues:
                         blues[y], parent[y] = None, (r, c)
-        self.step = {r: {c: (y, math.log(passing[y] / passing[r]) if y not in reds else 0.0) for c, y in children[r].items()} for r in reds}
         traffic: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         stops: dict[int, int] = defaultdict(int)
         for w in words:
@@ -170,8 +169,6 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> Iterator[tu
     held = sorted((s, e) for _, s, e, _ in taken)
     k = 0
     for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() < LEAST_CANDIDATE:
-            continue
         at, end = m.span()
         while k < len(held) and held[k][1] <= at:
             k += 1
@@ -253,7 +250,7 @@ def learn_formats(df: DataFrame, text_col: str = "text") -> Formats:
             rows, others = [], Counter()
             for t in batch.column(0).to_pylist():
                 base = base_spans(t) if t else []
-                rows += [(k, v, 1) for k, _, _, v in base]
+                rows += [(k, v, 1) for k, _, _, v in base if len(v) <= LONGEST]
                 others.update(value for _, _, value in candidates(t or "", base))
             rows += [("", a + b, n) for (a, b), n in class_pairs(others).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "n"])
@@ -266,7 +263,7 @@ def learn_formats(df: DataFrame, text_col: str = "text") -> Formats:
     pairs = {}
     for r in picked.orderBy("kind", "slot").collect():
         if r["kind"]:
-            by_kind[r["kind"]].append(r["value"][:512])
+            by_kind[r["kind"]].append(r["value"])
         else:
             pairs[tuple(r["value"])] = r["n"]
     return Formats({k: Automaton(v) for k, v in by_kind.items()}, Background(pairs))
