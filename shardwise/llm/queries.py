@@ -43,13 +43,13 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Target shares of tokens by domain.
-MIX = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+MIX = {"good": 0.88, "low": 0.07, "toxic": 0.05}
 
 
 def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, domain posteriors and rate for the target mix."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX)
-    return mixed.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(sorted(MIX))), "rate")
+    return mixed.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(sorted(MIX))), "rate", "residual")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
