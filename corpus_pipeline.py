@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardwise.llm import bpe, mixing, near_dup, quality, secrets
-from shardwise.llm.queries import labelled_domains, table
+from shardwise.llm.queries import MIX, labelled_domains, table
 from shardwise.llm.storage import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The domain whose documents, by majority, make up the mix of the training corpus.
-DOMAIN = "good"
-#: Rates from which a document is in the mix.
-LEAST_RATE = 0.5
+#: The domain whose tokens are all wanted; the others' follow from the target weights.
+ANCHOR = "good"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +45,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose rate in the target mix is at least LEAST_RATE."""
-    rated = mixing.mix_like(docs, labelled_domains(spark, sf_dir), DOMAIN).where(F.col("rate") >= LEAST_RATE).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rated, "doc_id", "left_semi")
+    """Keeps documents by a seeded draw at their rates in the mix of the target weights MIX that has all tokens of ANCHOR."""
+    mixed = mixing.mix(docs, labelled_domains(spark, sf_dir), MIX, anchor=ANCHOR)
+    return docs.select(*COLUMNS).join(mixing.drawn(mixed).select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
