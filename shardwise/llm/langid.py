@@ -39,6 +39,8 @@ BUDGET, PIECE = 1 << 15, 1 << 10
 SPARE = 2.0
 #: Symbols that are parsed on their own first.
 WINDOW = 512
+#: Up to so many bytes all transitions are held in one table, which is faster; else in a sorted list alone. Results are the same.
+DENSE_BYTES = 1 << 27
 #: Bytes of text in a slice, times languages.
 SLICE_BYTES = 8 << 20
 UNDETERMINED = "und"
@@ -99,7 +101,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Suffix automata of all languages; transitions are one sorted list of (state, symbol)."""
+    """Suffix automata of all languages; transitions are one sorted list of (state, symbol), and a table where that is small."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
@@ -120,6 +122,14 @@ class CrossParser:
             most = max(most, len(sample))
         self.keys, self.targets, self.roots = np.array([*keys, np.iinfo(np.int64).max], dtype=np.int64), np.array([*targets, 0], dtype=np.int32), np.array(roots, dtype=np.int32)
         self.bits = math.log2(most + 2)
+        #: A state's first transition, and whether it has more.
+        self.at = np.searchsorted(self.keys, np.arange(base + 1, dtype=np.int64) * self.width)
+        self.more = np.diff(self.at) > 1
+        #: All transitions by state and symbol, where that table is small.
+        self.dense = None
+        if base * self.width * 4 <= DENSE_BYTES:
+            self.dense = np.full(base * self.width, -1, dtype=np.int32)
+            self.dense[self.keys[:-1]] = self.targets[:-1]
         #: From a language's root, the state after each symbol, or the root itself.
         self.first = np.repeat(self.roots[:, None], self.width, axis=1)
         for k, root in enumerate(roots):
@@ -129,13 +139,22 @@ class CrossParser:
     def _next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The state after a symbol, -1 where there is none."""
         wanted = state.astype(np.int64) * self.width + symbol
-        at = np.searchsorted(self.keys, wanted)
-        return np.where(self.keys[at] == wanted, self.targets[at], -1)
+        first = self.at[state]
+        found = self.keys[first] == wanted
+        to = np.where(found, self.targets[first], -1)
+        rest = np.flatnonzero(~found & self.more[state])  # most states have one transition and need no search
+        others = np.searchsorted(self.keys, wanted[rest])
+        to[rest] = np.where(self.keys[others] == wanted[rest], self.targets[others], -1)
+        return to
 
     def _step(self, lang: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a symbol each, and whether it begins a phrase."""
         root, fresh = self.roots[lang], self.first[lang, symbol]
         begins = state == root
+        if self.dense is not None:
+            to = self.dense[state.astype(np.int64) * self.width + symbol]
+            fails = to < 0
+            return np.where(fails, fresh, to), begins | fails
         to = np.where(begins, fresh, 0)
         going = ~begins
         to[going] = self._next(state[going], symbol[going])
@@ -245,7 +264,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return {}
     span = 1 << 30
     rates = df.sparkSession.createDataFrame([(r["lang"], min(span, math.ceil(SPARE * BUDGET / r["chars"] * span))) for r in totals], "lang string, below long")
-    drawn = rows.join(rates, "lang").where(F.pmod("order", F.lit(span)) < F.col("below"))
+    drawn = rows.join(F.broadcast(rates), "lang").where(F.pmod("order", F.lit(span)) < F.col("below"))  # a number for each language
     place = F.pmod(F.xxhash64("order"), F.greatest(F.col("size") - PIECE, F.lit(0)) + 1).cast("int") + 1
     pieces = drawn.select("lang", "order", F.col("text").substr(place, F.lit(PIECE)).alias("piece")).distinct().collect()
     samples: dict[str, list[str]] = {}

@@ -23,8 +23,10 @@ SAMPLES = {"xx": ["the quick brown fox jumps over the lazy dog", "and the quick
 
 
 @pytest.mark.parametrize("window", [1, 3, 7, 512])
-def test_phrases_by_definition(monkeypatch, window):
+@pytest.mark.parametrize("table", [0, 1 << 27])
+def test_phrases_by_definition(monkeypatch, window, table):
     monkeypatch.setattr(langid, "WINDOW", window)
+    monkeypatch.setattr(langid, "DENSE_BYTES", table)
     rng = random.Random(window)
     parser = langid.CrossParser(SAMPLES)
     texts = ["the quick cat jumps over the fox", "Der faule Hund!", "zzz 123 fuchs", "the lazy " * 200, "", "42", "ÿ", "ab" * 300 + "c" + "ab" * 30]
