@@ -56,9 +56,9 @@ def plan(shard: DataFrame, blob: DataFrame) -> DataFrame:
     )
 
 
-def outcome(chunk: DataFrame, planned: DataFrame) -> DataFrame:
+def outcome(chunk: DataFrame, planned: DataFrame, threshold: int = 50) -> DataFrame:
     """Blocks of eligible chunks before and after compaction."""
-    return eligible(chunk, 10).join(planned, "chunk_id").select("chunk_id", F.col("used_blks").alias("used_from"), F.col("copied_blks").alias("used_to"), "defrag_blks")
+    return eligible(chunk, threshold).join(planned, "chunk_id").select("chunk_id", F.col("used_blks").alias("used_from"), F.col("copied_blks").alias("used_to"), "defrag_blks")
 
 
 def group_update(task: DataFrame, chunk: DataFrame) -> DataFrame:

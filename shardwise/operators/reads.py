@@ -22,13 +22,18 @@ def shard_scan(blob: DataFrame, shard_id: Column, start: int, limit: int | None
     return rows if limit is None else rows.limit(limit)
 
 
+def range_scan(blob: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Entries of the shards from `first` to `last` of each group (pg_id, first, last), deleted ones included."""
+    return blob.join(F.broadcast(ranges), "pg_id").where(F.col("shard_id").between(F.col("first"), F.col("last")))  # a row for each group
+
+
 def live(blob: DataFrame) -> DataFrame:
     return blob.where(~F.col("is_tombstone"))
 
 
-def sweep(blob: DataFrame, pg_id: int) -> DataFrame:
-    """Counts of one group's index entries."""
-    return blob.where(F.col("pg_id") == pg_id).agg(F.count("*").alias("entries"), F.count_if("is_tombstone").alias("tombstones"))
+def sweep(blob: DataFrame) -> DataFrame:
+    """Counts of each group's index entries."""
+    return blob.groupBy("pg_id").agg(F.count("*").alias("entries"), F.count_if("is_tombstone").alias("tombstones"))
 
 
 def read_range(payload: DataFrame, requests: DataFrame) -> DataFrame:

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from shardwise.functions import scalars as S
 
 
-def exported_shards(shard: DataFrame, pg_id: int, upto_lsn: int) -> DataFrame:
-    """Shards of a group up to a log position (none at 0), numbered by chunk, then lsn: within the chunk, after the number of shards in earlier chunks, so only one row a chunk is ever in one task."""
-    rows = shard.where((F.col("pg_id") == pg_id) & (F.col("lsn") <= upto_lsn) & F.lit(upto_lsn != 0)).select("shard_id", "chunk_id", "lsn")
-    counts = rows.groupBy("chunk_id").agg(F.count("*").alias("n"), F.lit(pg_id).alias("pg_id"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("pg_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy("lsn"))
-    return rows.join(counts.select("chunk_id", before.alias("before")), "chunk_id").select("shard_id", "chunk_id", "lsn", (F.col("before") + nth).alias("position"))
+def snapshot_cuts(shard: DataFrame) -> DataFrame:
+    """(pg_id, upto): the log position of each group's snapshot, right before its last open shard, or its last shard if none is open."""
+    return shard.groupBy("pg_id").agg(F.coalesce(F.max(F.when(F.col("state") == S.OPEN, F.col("lsn"))) - 1, F.max("lsn")).alias("upto"))
+
+
+def exported_shards(shard: DataFrame, places: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Shards of each group up to its log position (none at 0), numbered by virtual chunk (`places`: pg_id, chunk_id, v_chunk_id), then lsn: within the chunk, after the number of shards in earlier chunks, so only one row a chunk is ever in one task."""
+    rows = shard.join(F.broadcast(cuts), "pg_id").where((F.col("lsn") <= F.col("upto")) & (F.col("upto") != 0))  # a row for each group
+    rows = rows.join(places.select("pg_id", "chunk_id", "v_chunk_id"), ["pg_id", "chunk_id"]).select("pg_id", "shard_id", "v_chunk_id", "lsn")
+    counts = rows.groupBy("pg_id", "v_chunk_id").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pg_id").orderBy("v_chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("pg_id", "v_chunk_id").orderBy("lsn"))
+    return rows.join(counts.select("pg_id", "v_chunk_id", before.alias("before")), ["pg_id", "v_chunk_id"]).select("pg_id", "shard_id", "v_chunk_id", "lsn", (F.col("before") + nth).alias("position"))
 
 
 def read_order(blob: DataFrame) -> DataFrame:
@@ -73,9 +79,10 @@ def bins(df: DataFrame, group: str, item: str, size: str, capacity: int) -> Data
     return rows.repartition(F.col("group")).sortWithinPartitions("group", "item").mapInPandas(pack, "group bigint, item bigint, size bigint, bin bigint")
 
 
-def cursor_valid(now_seq: Column, now_batch: Column, seq: Column, batch: Column) -> Column:
-    """Whether a request (seq, batch) may follow the cursor: the same again, the next batch, or another shard's start."""
-    return ((seq == now_seq) & ((batch == now_batch) | (batch == now_batch + 1))) | ((now_seq == 0) & (now_batch == 0) & (batch == 0)) | ((seq > now_seq) & (batch == 0))
+def cursor_valid(now_seq: Column, now_batch: Column, next_seq: Column, seq: Column, batch: Column) -> Column:
+    """Whether a message (seq, batch) may follow the cursor: the group's, always; the next shard's first; or of the current shard the first, the current or the next batch. Without a cursor (null) only the group's."""
+    same = (seq == now_seq) & ((batch == 0) | (batch == now_batch) | (batch == now_batch + 1))
+    return (seq == 0) | F.coalesce(now_seq.isNotNull() & (((seq == next_seq) & (batch == 0)) | same), F.lit(False))
 
 
 def progress(received: DataFrame) -> DataFrame:
@@ -101,10 +108,11 @@ def resume(exported: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def messages(exported: DataFrame, batched: DataFrame) -> DataFrame:
-    """All messages of an export in order: the group's first, then each shard's record and batches. `kind` tells them apart; the id of a message is that of its shard's position and batch."""
-    first = exported.sparkSession.range(1).select(F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("batch_id"), F.lit("group").alias("kind"))
-    records = exported.select("position", F.lit(0).cast("long").alias("batch_id"), F.lit("shard").alias("kind"))
-    parts = exported.join(batched, "shard_id").select("position", "batch_id", F.lit("blobs").alias("kind"))
+    """All messages of each group's export in order: the group's first, then each shard's record and batches. `kind` tells them apart; the id of a message is that of its shard's position and batch."""
+    zero = F.lit(0).cast("long")
+    first = exported.select("pg_id").distinct().select("pg_id", zero.alias("position"), zero.alias("batch_id"), F.lit("group").alias("kind"))
+    records = exported.select("pg_id", "position", zero.alias("batch_id"), F.lit("shard").alias("kind"))
+    parts = exported.join(batched, "shard_id").select("pg_id", "position", "batch_id", F.lit("blobs").alias("kind"))
     return first.unionByName(records).unionByName(parts).withColumn("message_id", S.object_id(F.col("position"), F.col("batch_id")).cast("string"))
 
 

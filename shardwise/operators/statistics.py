@@ -24,10 +24,10 @@ def group_stats(shard: DataFrame, blob: DataFrame) -> DataFrame:
     return joined.select("pg_id", "total_shards", "open_shards", F.coalesce("active_blobs", F.lit(0)).alias("active_blobs"), F.coalesce("tombstones", F.lit(0)).alias("tombstones"), (blocks * S.BLOCK_BYTES).alias("used_bytes"))
 
 
-def service_stats(chunk: DataFrame, shard: DataFrame) -> DataFrame:
-    """One row for the service; shards that could still be opened count all chunks but those of open shards."""
+def service_stats(chunk: DataFrame, shard: DataFrame, chunk_blks: int, reserved: int = 6) -> DataFrame:
+    """One row for the service; capacity is less by the chunks that each device reserves for compaction; shards that could still be opened count all chunks but those of open shards."""
     space = chunk.agg(
-        (F.sum("total_blks") * S.BLOCK_BYTES).alias("total_bytes"),
+        ((F.sum("total_blks") - F.count_distinct("pdev_id") * (reserved * chunk_blks)) * S.BLOCK_BYTES).alias("total_bytes"),
         (F.sum(F.when(F.col("state") != S.GC, F.col("used_blks")).otherwise(0)) * S.BLOCK_BYTES).alias("used_bytes"),
         F.count("*").alias("chunks"),
         F.count_distinct("pdev_id").alias("disks"),

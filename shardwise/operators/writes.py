@@ -71,11 +71,16 @@ def shard_commits(shard: DataFrame) -> DataFrame:
 
 
 def put_commits(oplog: DataFrame) -> DataFrame:
-    """Result of each committed put: a corrupted header, a first write, or one that finds its key taken."""
-    puts = oplog.where("msg_type = 'PUT_BLOB'")
-    sound = F.when(~F.col("header_corrupted"), F.col("lsn"))
-    first = F.min(sound).over(Window.partitionBy("shard_id", "blob_id"))
-    return puts.select("lsn", "shard_id", "blob_id", F.when(F.col("header_corrupted"), "CHECKSUM_MISMATCH").when(F.col("lsn") == first, "OK").otherwise("CONFLICT").alias("status"))
+    """Result of each committed put: a corrupted header; a first write; or a key that is taken, which is no error if the entry has the same address or is deleted by then."""
+    rows = oplog.where("msg_type IN ('PUT_BLOB', 'DEL_BLOB')")
+    key, sound = Window.partitionBy("shard_id", "blob_id"), ~F.col("header_corrupted")
+    first = F.min(F.when(sound & (F.col("msg_type") == "PUT_BLOB"), F.struct("lsn", "blk_num"))).over(key)
+    rows = rows.withColumn("first", first)
+    rows = rows.withColumn("del_lsn", F.min(F.when(sound & (F.col("msg_type") == "DEL_BLOB") & (F.col("lsn") > F.col("first.lsn")), F.col("lsn"))).over(key))
+    same = (F.col("blk_num") == F.col("first.blk_num")) | F.coalesce(F.col("del_lsn") < F.col("lsn"), F.lit(False))
+    existed = sound & (F.col("lsn") > F.col("first.lsn"))
+    status = F.when(~sound, "CHECKSUM_MISMATCH").when(existed & ~same, "CONFLICT").otherwise("OK")
+    return rows.where("msg_type = 'PUT_BLOB'").select("lsn", "shard_id", "blob_id", status.alias("status"), F.coalesce(existed, F.lit(False)).alias("existed"))
 
 
 def group_counters(index: DataFrame) -> DataFrame:

@@ -25,7 +25,15 @@ def query(name: str, sql: str | None, make: Callable[[Store], DataFrame]) -> Non
         ORACLES[name] = f"{TABLES_SQL}\n{sql}" if not sql.startswith(",") else f"{TABLES_SQL}{sql}"
 
 
-PG2 = 2 * (1 << 48)
+_EXPORTED = """, exported AS (
+    SELECT shard.pg_id, shard_id, v_chunk_id, lsn, row_number() OVER (PARTITION BY shard.pg_id ORDER BY v_chunk_id, lsn)::BIGINT AS position
+    FROM shard JOIN (SELECT pg_id, coalesce(max(CASE WHEN state = 0 THEN lsn END) - 1, max(lsn)) AS upto FROM shard GROUP BY pg_id) c ON c.pg_id = shard.pg_id AND lsn <= upto AND upto <> 0
+    JOIN chunk ON chunk.pg_id = shard.pg_id AND chunk.chunk_id = shard.chunk_id)"""
+
+
+def _exported(s: Store) -> DataFrame:
+    return snapshot.exported_shards(s.shard, s.chunk, snapshot.snapshot_cuts(s.shard))
+
 
 # --- Reads and scans ---
 
@@ -63,24 +71,24 @@ query("a4_point_lookup", """SELECT s.shard_id, s.seq * 256 AS blob_id, CASE WHEN
     lambda s: reads.lookup(s.blob, s.shard.select("shard_id", (F.col("seq") * 256).alias("blob_id"))))
 query("a7_partial_read_rule", _REQUESTS_SQL + " SELECT shard_id, blob_id, partial FROM answer",
     lambda s: _requests(s).join(s.payload, ["shard_id", "blob_id"], "left").select("shard_id", "blob_id", reads.partial_read_allowed(F.col("skip_verify"), F.col("off"), F.col("len"), reads.stored_bytes(F.octet_length("body").cast("long"))).alias("partial")))
-query("a8_shard_range_scan", f"SELECT shard_id, blob_id, blk_num, is_tombstone FROM blob WHERE pg_id = 2 AND seq BETWEEN 0 AND 400 AND blob_id % 256 >= 1",
-    lambda s: s.blob.where((F.col("shard_id") >= PG2) & (F.col("shard_id") <= PG2 + 400) & (F.col("blob_id") % 256 >= 1)).select("shard_id", "blob_id", "blk_num", "is_tombstone"))
+query("a8_shard_range_scan", """SELECT shard_id, blob_id, blk_num, is_tombstone FROM blob JOIN (SELECT pg_id, min(seq) AS lo, (min(seq) + max(seq)) // 2 AS hi FROM shard GROUP BY pg_id) r USING (pg_id) WHERE seq BETWEEN lo AND hi""",
+    lambda s: reads.range_scan(s.blob, s.shard.groupBy("pg_id").agg(F.min("shard_id").alias("first"), (F.min("shard_id") + F.floor((F.max("seq") - F.min("seq")) / 2)).alias("last"))).select("shard_id", "blob_id", "blk_num", "is_tombstone"))
 query("a8_first_entries", "SELECT blob_id, blk_num, is_tombstone FROM blob WHERE shard_id = (SELECT min(shard_id) FROM blob) ORDER BY blob_id LIMIT 3",
     lambda s: reads.shard_scan(s.blob.join(s.blob.agg(F.min("shard_id").alias("least")), F.col("shard_id") == F.col("least"), "left_semi"), F.col("shard_id"), 0, 3).select("blob_id", "blk_num", "is_tombstone"))
 query("a9_shard_blobs", "SELECT shard_id, count(*) AS entries, min(blob_id) AS first_blob, max(blob_id) AS last_blob FROM blob GROUP BY shard_id",
     lambda s: s.blob.groupBy("shard_id").agg(F.count("*").alias("entries"), F.min("blob_id").alias("first_blob"), F.max("blob_id").alias("last_blob")))
-query("a10_group_sweep", "SELECT count(*) AS entries, count(*) FILTER (is_tombstone) AS tombstones FROM blob WHERE pg_id = 3", lambda s: reads.sweep(s.blob, 3))
+query("a10_group_sweep", "SELECT pg_id, count(*) AS entries, count(*) FILTER (is_tombstone) AS tombstones FROM blob GROUP BY pg_id", lambda s: reads.sweep(s.blob))
 query("a11_live_index", "SELECT shard_id, blob_id, blk_num FROM blob WHERE NOT is_tombstone", lambda s: reads.live(s.blob).select("shard_id", "blob_id", "blk_num"))
 query("a12_gc_index_prefix", """, latest AS (SELECT chunk_id, arg_max(to_chunk_id, task_id) AS to_chunk_id FROM task WHERE succeeded GROUP BY chunk_id)
     SELECT to_chunk_id, shard_id, blob_id, blk_num FROM blob JOIN latest USING (chunk_id) WHERE NOT is_tombstone""", lambda s: reads.gc_index_prefix(s.chunk, s.blob, s.task))
-query("a13_list_shards", "SELECT shard_id, state, lsn, created_ms, meta FROM shard WHERE pg_id = 1", lambda s: reads.shards_of(s.shard, 1).select("shard_id", "state", "lsn", "created_ms", "meta"))
+query("a13_list_shards", "SELECT pg_id, shard_id, state, lsn, created_ms, meta FROM shard", lambda s: s.shard.select("pg_id", "shard_id", "state", "lsn", "created_ms", "meta"))
 query("a14_get_shard", """, ids AS (SELECT (l_suppkey % 5 + 1) * 281474976710656 + l_orderkey AS shard_id FROM lineitem GROUP BY 1)
     SELECT shard_id, pg_id, state, lsn, CASE WHEN pg_id IS NULL THEN 'UNKNOWN_SHARD' ELSE 'OK' END AS status FROM ids LEFT JOIN shard USING (shard_id)""",
     lambda s: reads.shard_by_id(s.shard, s.read("lineitem").select(S.make_shard_id(F.col("l_suppkey") % 5 + 1, F.col("l_orderkey")).alias("shard_id")).distinct()))
 query("a15_list_groups", "SELECT pg_id, group_name FROM pg", lambda s: s.pg.select("pg_id", "group_name"))
 query("a16_group_by_uuid", "SELECT pg_id, md5(group_name) AS uuid FROM pg WHERE md5(group_name) >= '8'", lambda s: s.pg.select("pg_id", F.md5("group_name").alias("uuid")).where("uuid >= '8'"))
-query("a17_shards_in_vchunk", "SELECT s.shard_id, s.state FROM shard s JOIN chunk c USING (pg_id, chunk_id) WHERE pg_id = 2 AND v_chunk_id = 3",
-    lambda s: s.shard.join(s.chunk.where("pg_id = 2 AND v_chunk_id = 3").select("pg_id", "chunk_id"), ["pg_id", "chunk_id"]).select("shard_id", "state"))
+query("a17_shards_in_vchunk", "SELECT pg_id, v_chunk_id, s.shard_id, s.state FROM shard s JOIN chunk c USING (pg_id, chunk_id)",
+    lambda s: s.shard.join(s.chunk.select("pg_id", "chunk_id", "v_chunk_id"), ["pg_id", "chunk_id"]).select("pg_id", "v_chunk_id", "shard_id", s.shard["state"]))
 query("a18_shards_in_pchunk", "SELECT chunk_id, count(*) AS shards, min(shard_id) AS first_shard, max(shard_id) AS last_shard FROM shard GROUP BY chunk_id",
     lambda s: s.shard.groupBy("chunk_id").agg(F.count("*").alias("shards"), F.min("shard_id").alias("first_shard"), F.max("shard_id").alias("last_shard")))
 query("a19_shard_places", "SELECT shard_id, chunk_id, v_chunk_id FROM shard JOIN chunk USING (pg_id, chunk_id)", lambda s: s.shard.join(s.chunk, ["pg_id", "chunk_id"]).select("shard_id", "chunk_id", "v_chunk_id"))
@@ -103,7 +111,7 @@ query("a27_fetch_for_replica", """, local AS (SELECT shard_id, blob_id, blk_num
 query("a28_device_list", "SELECT s_suppkey, '/dev/sd' || s_suppkey AS path, CASE s_suppkey % 3 WHEN 0 THEN 'HDD' WHEN 1 THEN 'NVME' ELSE 'AUTO' END AS kind FROM supplier",
     lambda s: s.read("supplier").select("s_suppkey", *(c.alias(n) for c, n in zip(S.device(F.concat(F.lit("/dev/sd"), "s_suppkey", F.element_at(F.array(F.lit(":hdd"), F.lit(":NVME"), F.lit(":tape")), (F.col("s_suppkey") % 3 + 1).cast("int")))), ("path", "kind"), strict=True))))
 query("a29_live_count", "SELECT pg_id, count(*) AS live FROM blob WHERE NOT is_tombstone GROUP BY pg_id", lambda s: reads.live(s.blob).groupBy("pg_id").agg(F.count("*").alias("live")))
-query("a30_chunk_by_place", "SELECT chunk_id, state, available_blks FROM chunk WHERE pg_id = 4 AND v_chunk_id = 5", lambda s: s.chunk.where("pg_id = 4 AND v_chunk_id = 5").select("chunk_id", "state", "available_blks"))
+query("a30_chunk_by_place", "SELECT pg_id, v_chunk_id, chunk_id, state, available_blks FROM chunk", lambda s: s.chunk.select("pg_id", "v_chunk_id", "chunk_id", "state", "available_blks"))
 query("a31_check_group_chunks", """SELECT l.pg_id, count(*) FILTER (c.pdev_id IS NULL) AS missing, count(DISTINCT c.pdev_id) AS devices, count(*) FILTER (c.pdev_id IS NULL) = 0 AND count(DISTINCT c.pdev_id) = 1 AS valid
     FROM chunk l LEFT JOIN (SELECT chunk_id, CASE WHEN chunk_id % 400 = 5 THEN 9 ELSE pdev_id END AS pdev_id FROM chunk WHERE chunk_id % 500 <> 3) c USING (chunk_id) GROUP BY l.pg_id""",
     lambda s: placement.check_group_chunks(s.chunk.select("pg_id", "chunk_id"), s.chunk.where("chunk_id % 500 <> 3").select("chunk_id", F.when(F.col("chunk_id") % 400 == 5, 9).otherwise(F.col("pdev_id")).alias("pdev_id"))))
@@ -112,13 +120,14 @@ query("a31_check_group_chunks", """SELECT l.pg_id, count(*) FILTER (c.pdev_id IS
 query("b1_put_validation", """, puts AS (SELECT (l_suppkey % 5 + 1) * 281474976710656 + l_orderkey AS shard_id, l_partkey AS blob_id, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_quantity END::BIGINT AS size FROM lineitem)
     SELECT shard_id, blob_id, size, CASE WHEN state IS NULL THEN 'UNKNOWN_SHARD' WHEN state <> 0 THEN 'SEALED_SHARD' WHEN size <= 0 THEN 'INVALID_ARG' ELSE 'OK' END AS status FROM puts LEFT JOIN shard USING (shard_id)""",
     lambda s: writes.validate_puts(s.read("lineitem").select(S.make_shard_id(F.col("l_suppkey") % 5 + 1, F.col("l_orderkey")).alias("shard_id"), F.col("l_partkey").alias("blob_id"), F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_quantity")).cast("long").alias("size")), s.shard))
-query("b3_put_commits", """, puts AS (SELECT *, min(CASE WHEN NOT header_corrupted THEN lsn END) OVER (PARTITION BY shard_id, blob_id) AS first FROM oplog WHERE msg_type = 'PUT_BLOB')
-    SELECT lsn, shard_id, blob_id, CASE WHEN header_corrupted THEN 'CHECKSUM_MISMATCH' WHEN lsn = first THEN 'OK' ELSE 'CONFLICT' END AS status FROM puts""", lambda s: writes.put_commits(s.oplog))
-
 _FOLD = """, sound AS (SELECT * FROM oplog WHERE NOT header_corrupted),
 put AS (SELECT shard_id, blob_id, min(lsn) AS put_lsn, arg_min(blk_count, lsn) AS blk_count, arg_min(pg_id, lsn) AS pg_id FROM sound WHERE msg_type = 'PUT_BLOB' GROUP BY shard_id, blob_id),
 del AS (SELECT p.shard_id, p.blob_id, min(d.lsn) AS del_lsn FROM put p JOIN sound d ON d.shard_id = p.shard_id AND d.blob_id = p.blob_id AND d.msg_type = 'DEL_BLOB' AND d.lsn > p.put_lsn GROUP BY p.shard_id, p.blob_id),
 folded AS (SELECT shard_id, blob_id, pg_id, put_lsn, del_lsn, blk_count, del_lsn IS NOT NULL AS is_tombstone FROM put LEFT JOIN del USING (shard_id, blob_id))"""
+query("b3_put_commits", _FOLD + """, address AS (SELECT shard_id, blob_id, arg_min(blk_num, lsn) AS first_blk FROM sound WHERE msg_type = 'PUT_BLOB' GROUP BY shard_id, blob_id)
+    SELECT o.lsn, o.shard_id, o.blob_id, NOT header_corrupted AND coalesce(o.lsn > f.put_lsn, false) AS existed,
+           CASE WHEN header_corrupted THEN 'CHECKSUM_MISMATCH' WHEN o.lsn = f.put_lsn OR o.blk_num = a.first_blk OR f.del_lsn < o.lsn THEN 'OK' ELSE 'CONFLICT' END AS status
+    FROM oplog o LEFT JOIN folded f USING (shard_id, blob_id) LEFT JOIN address a USING (shard_id, blob_id) WHERE o.msg_type = 'PUT_BLOB'""", lambda s: writes.put_commits(s.oplog))
 query("b5_group_counters", _FOLD + " SELECT pg_id, max(blob_id) + 1 AS blob_sequence_num, count(*) FILTER (NOT is_tombstone) AS active_blobs, count(*) FILTER (is_tombstone) AS tombstones, sum(blk_count)::BIGINT AS occupied_blks FROM folded GROUP BY pg_id",
     lambda s: writes.group_counters(oplog.fold_index(s.oplog)))
 query("b8_delete_outcomes", _FOLD + " SELECT o.lsn, o.shard_id, o.blob_id, 'OK' AS status, coalesce(o.lsn = f.del_lsn, false) AS counted FROM sound o LEFT JOIN folded f USING (shard_id, blob_id) WHERE o.msg_type = 'DEL_BLOB'",
@@ -148,10 +157,10 @@ query("c8_state_mask", "SELECT pg_id, (pg_id | 4) AS set_bits, (pg_id & ~1) AS c
 query("c9_gc_eligible", "SELECT chunk_id, defrag_blks FROM chunk WHERE defrag_blks > 0 AND state = 0 AND 100 * defrag_blks > total_blks * 5", lambda s: compaction.eligible(s.chunk, 5).select("chunk_id", "defrag_blks"))
 query("c10_gc_gate", "SELECT pg_id, count(*) AS chunks FROM chunk WHERE pg_id % 2 = 1 GROUP BY pg_id", lambda s: relations.groups_alive(s.chunk, s.pg.select("pg_id", F.when(F.col("pg_id") % 2 == 1, S.ALIVE).otherwise(S.DISK_DOWN).alias("state"))).groupBy("pg_id").agg(F.count("*").alias("chunks")))
 query("c11_mark_gc", "SELECT chunk_id, CASE WHEN state = 1 AND chunk_id % 2 = 0 THEN 1 ELSE 2 END AS marked FROM chunk", lambda s: s.chunk.select("chunk_id", placement.mark_gc(F.col("state"), F.col("chunk_id") % 2 == 1).alias("marked")))
-query("c12_snapshot_cut", "SELECT count(*) AS shards FROM shard WHERE pg_id = 3 AND lsn <= 700", lambda s: snapshot.exported_shards(s.shard, 3, 700).agg(F.count("*").alias("shards")))
+query("c12_snapshot_cut", _EXPORTED + " SELECT pg_id, count(*) AS shards FROM exported GROUP BY pg_id", lambda s: _exported(s).groupBy("pg_id").agg(F.count("*").alias("shards")))
 query("c13_equal_groups", "SELECT pg_id, pg_id <> 2 AS equal FROM pg", lambda s: relations.equal_groups(s.member, s.member.select("pg_id", "member_id", F.lit("x").alias("name"), F.when(F.col("pg_id") == 2, 9).otherwise(F.col("priority")).alias("priority"))))
-query("c14_cursor_rule", """SELECT event_id, (user_id = 40 AND event_id % 5 IN (2, 3)) OR (user_id > 40 AND event_id % 5 = 0) AS valid FROM events""",
-    lambda s: s.read("events").select("event_id", snapshot.cursor_valid(F.lit(40), F.lit(2), F.col("user_id"), F.col("event_id") % 5).alias("valid")))
+query("c14_cursor_rule", """SELECT event_id, CASE WHEN user_id % 50 = 0 THEN true WHEN event_id % 10 = 9 THEN false ELSE (user_id % 50 = 41 AND event_id % 5 = 0) OR (user_id % 50 = 40 AND event_id % 5 IN (0, 2, 3)) END AS valid FROM events""",
+    lambda s: s.read("events").select("event_id", snapshot.cursor_valid(F.when(F.col("event_id") % 10 != 9, 40), F.lit(2), F.lit(41), F.col("user_id") % 50, F.col("event_id") % 5).alias("valid")))
 query("c16_blob_verify", "SELECT blob_id, blob_id % 7 <> 0 AND blob_id % 11 <> 0 AS verified FROM payload",
     lambda s: integrity.verify(s.payload.select("shard_id", "blob_id", "body", "user_key", F.lit(2).alias("version"), (F.col("shard_id") + (F.col("blob_id") % 7 == 0).cast("int")).alias("header_shard_id"), F.lit(0).alias("header_blob_id"), (F.crc32("body") + (F.col("blob_id") % 11 == 0).cast("int")).alias("hash")).withColumn("own_id", F.col("blob_id")).withColumn("blob_id", F.lit(0))).select(F.col("own_id").alias("blob_id"), "verified"))
 query("c17_delete_marker", "SELECT blob_id, blob_id % 9 = 0 AS deleted FROM payload", lambda s: s.payload.select("blob_id", integrity.is_delete_marker(F.when(F.col("blob_id") % 9 == 0, F.concat(F.lit(integrity.DELETE_MARKER), "body")).otherwise(F.col("body"))).alias("deleted")))
@@ -189,8 +198,8 @@ query("e1_open_shards", "SELECT pg_id, count(*) AS total_shards, count(*) FILTER
 query("e2_pg_stats", """SELECT s.pg_id, total_shards, open_shards, coalesce(active_blobs, 0) AS active_blobs, coalesce(tombstones, 0) AS tombstones, (coalesce(blks, 0) + 2 * total_shards - open_shards) * 4096 AS used_bytes
     FROM (SELECT pg_id, count(*) AS total_shards, count(*) FILTER (state = 0) AS open_shards FROM shard GROUP BY pg_id) s
     LEFT JOIN (SELECT pg_id, count(*) FILTER (NOT is_tombstone) AS active_blobs, count(*) FILTER (is_tombstone) AS tombstones, sum(blk_count)::BIGINT AS blks FROM blob GROUP BY pg_id) b USING (pg_id)""", lambda s: statistics.group_stats(s.shard, s.blob))
-query("e4_service_stats", """SELECT (SELECT sum(total_blks) * 4096 FROM chunk)::BIGINT AS total_bytes, (SELECT sum(CASE WHEN state <> 2 THEN used_blks ELSE 0 END) * 4096 FROM chunk)::BIGINT AS used_bytes,
-    (SELECT count(*) FROM shard WHERE state = 0) AS open_shards, (SELECT count(*) FROM chunk) - (SELECT count(*) FROM shard WHERE state = 0) AS avail_open_shards, (SELECT count(DISTINCT pdev_id) FROM chunk) AS disks""", lambda s: statistics.service_stats(s.chunk, s.shard))
+query("e4_service_stats", """SELECT ((SELECT sum(total_blks) - count(DISTINCT pdev_id) * 6 * 2000 FROM chunk) * 4096)::BIGINT AS total_bytes, (SELECT sum(CASE WHEN state <> 2 THEN used_blks ELSE 0 END) * 4096 FROM chunk)::BIGINT AS used_bytes,
+    (SELECT count(*) FROM shard WHERE state = 0) AS open_shards, (SELECT count(*) FROM chunk) - (SELECT count(*) FROM shard WHERE state = 0) AS avail_open_shards, (SELECT count(DISTINCT pdev_id) FROM chunk) AS disks""", lambda s: statistics.service_stats(s.chunk, s.shard, placement.TOTAL_BLOCKS))
 query("e5_refresh_counters", """SELECT pg_id, count(*) FILTER (NOT is_tombstone) AS active_blobs, count(*) FILTER (is_tombstone) AS tombstones, sum(blk_count)::BIGINT AS blob_blks, true AS repair FROM blob GROUP BY pg_id""",
     lambda s: statistics.refreshed_counters(s.blob, s.pg.select("pg_id", F.lit(999).cast("long").alias("active"), F.lit(888).cast("long").alias("dead"), F.lit(777).cast("long").alias("occupied"))))
 query("e6_tombstones", "SELECT pg_id, count(*) FILTER (is_tombstone) AS tombstones FROM blob GROUP BY pg_id", lambda s: s.blob.groupBy("pg_id").agg(F.count_if("is_tombstone").alias("tombstones")))
@@ -221,7 +230,7 @@ query("e19_histogram", "SELECT CASE WHEN used_from >= 2000 THEN 11 ELSE used_fro
 # --- Order, placement, sets ---
 query("w4_scan_cap", "SELECT pdev_id, chunk_id, defrag_blks FROM (SELECT *, row_number() OVER (PARTITION BY pdev_id ORDER BY chunk_id) AS nth FROM chunk WHERE defrag_blks > 0 AND state = 0 AND 100 * defrag_blks > total_blks * 2) WHERE nth <= 8", lambda s: compaction.scan(s.chunk, 2))
 query("w5_last_shards", "SELECT chunk_id, max(shard_id) AS last_shard FROM shard GROUP BY chunk_id", lambda s: compaction.last_shards(s.shard))
-query("f1_export_order", "SELECT shard_id, chunk_id, lsn, row_number() OVER (ORDER BY chunk_id, lsn)::BIGINT AS position FROM shard WHERE pg_id = 1 AND lsn <= 900", lambda s: snapshot.exported_shards(s.shard, 1, 900))
+query("f1_export_order", _EXPORTED + " SELECT * FROM exported", _exported)
 query("f3_chunks_for_group", """, d AS (SELECT pdev_id FROM chunk WHERE state = 0 GROUP BY pdev_id HAVING count(*) >= 3 ORDER BY count(*) DESC, pdev_id LIMIT 1),
     r AS (SELECT pdev_id, chunk_id, available_blks, row_number() OVER (PARTITION BY pdev_id ORDER BY available_blks DESC, chunk_id)::BIGINT AS rank FROM chunk WHERE state = 0 AND pdev_id IN (SELECT pdev_id FROM d)) SELECT * FROM r WHERE rank <= 3""", lambda s: placement.chunks_for_group(s.chunk, 3))
 query("f4_chunk_for_shard", """, best AS (SELECT pg_id, v_chunk_id, available_blks FROM chunk WHERE state = 0 AND available_blks > 0 QUALIFY row_number() OVER (PARTITION BY pg_id ORDER BY available_blks DESC, v_chunk_id) = 1)
@@ -247,8 +256,7 @@ query("i3_puts_after_seal", """, s AS (SELECT shard_id, min(lsn) AS seal_lsn FRO
     SELECT lsn, shard_id, blob_id, 'SEALED_SHARD' AS status FROM oplog JOIN s USING (shard_id) WHERE msg_type = 'PUT_BLOB' AND lsn > seal_lsn""", lambda s: oplog.after_seal(s.oplog))
 query("i4_rollback", "SELECT msg_type, count(*) AS n FROM oplog WHERE lsn % 10 <> 3 GROUP BY msg_type", lambda s: oplog.rolled_back(s.oplog, s.oplog.where("lsn % 10 = 3").select("lsn")).groupBy("msg_type").agg(F.count("*").alias("n")))
 query("i5_replay", "SELECT pg_id, chunk_id, state FROM chunk WHERE state = 1", lambda s: placement.recovered_states(s.chunk, s.shard).where(F.col("state") == S.IN_USE))
-query("i12_resume", "SELECT shard_id, position FROM (SELECT shard_id, lsn, row_number() OVER (ORDER BY chunk_id, lsn)::BIGINT AS position FROM shard WHERE pg_id = 1 AND lsn <= 900) WHERE position > 5",
-    lambda s: snapshot.resume(snapshot.exported_shards(s.shard, 1, 900), snapshot.exported_shards(s.shard, 1, 900).where("position <= 5").select("shard_id")).select("shard_id", "position"))
+query("i12_resume", _EXPORTED + " SELECT pg_id, shard_id, position FROM exported WHERE position > 5", lambda s: snapshot.resume(_exported(s), _exported(s).where("position <= 5").select("shard_id")).select("pg_id", "shard_id", "position"))
 query("i13_deferred_no_space", """, c AS (SELECT pg_id, max(lsn) AS last_lsn FROM oplog WHERE lsn % 3 <> 0 GROUP BY pg_id), e AS (SELECT pg_id, max(lsn) AS lsn FROM oplog GROUP BY pg_id)
     SELECT pg_id, lsn, coalesce(last_lsn >= lsn - 1, false) AS ready FROM e LEFT JOIN c USING (pg_id)""",
     lambda s: oplog.deferred_no_space(s.oplog.groupBy("pg_id").agg(F.max("lsn").alias("lsn")), s.oplog.where("lsn % 3 <> 0").groupBy("pg_id").agg(F.max("lsn").alias("last_lsn"))))
@@ -273,7 +281,7 @@ query("k4_purge", """, latest AS (SELECT chunk_id, arg_max(to_chunk_id, task_id)
     SELECT to_chunk_id, count(*) AS entries FROM blob JOIN latest USING (chunk_id) WHERE NOT is_tombstone AND to_chunk_id % 5 <> 0 GROUP BY to_chunk_id""",
     lambda s: compaction.purged(reads.gc_index_prefix(s.chunk, s.blob, s.task), s.task.where("to_chunk_id % 5 = 0").select("to_chunk_id").distinct()).groupBy("to_chunk_id").agg(F.count("*").alias("entries")))
 query("k5_plan", _PLAN + " SELECT * FROM planned", lambda s: compaction.plan(s.shard, s.blob))
-query("k6_outcome", _PLAN + " SELECT chunk_id, used_blks AS used_from, copied_blks AS used_to, defrag_blks FROM chunk JOIN planned USING (chunk_id) WHERE defrag_blks > 0 AND state = 0 AND 100 * defrag_blks > total_blks * 10", lambda s: compaction.outcome(s.chunk, compaction.plan(s.shard, s.blob)))
+query("k6_outcome", _PLAN + " SELECT chunk_id, used_blks AS used_from, copied_blks AS used_to, defrag_blks FROM chunk JOIN planned USING (chunk_id) WHERE defrag_blks > 0 AND state = 0 AND 100 * defrag_blks > total_blks * 2", lambda s: compaction.outcome(s.chunk, compaction.plan(s.shard, s.blob), 2))
 query("k7_group_update", """, done AS (SELECT chunk_id, sum(used_from - used_to)::BIGINT AS reclaimed FROM task WHERE succeeded GROUP BY chunk_id)
     SELECT pg_id, sum(reclaimed)::BIGINT AS reclaimed_blks, count(*) AS chunks FROM chunk JOIN done USING (chunk_id) GROUP BY pg_id""", lambda s: compaction.group_update(s.task, s.chunk))
 query("k8_trigger", "SELECT chunk_id, defrag_blks FROM chunk WHERE defrag_blks > 0 AND pg_id = 2", lambda s: compaction.triggered(s.chunk, pg_id=2).select("chunk_id", "defrag_blks"))
@@ -281,7 +289,7 @@ query("k11_job_report", "SELECT job_id, priority, count(*) AS tasks, count(*) FI
 
 # --- Scalars ---
 query("h1_checksums", None, lambda s: s.payload.select("blob_id", integrity.checksum(F.col("body")).alias("crc32")))
-query("h3_digests", "SELECT blob_id, md5(body) AS md5 FROM payload", lambda s: s.payload.select("blob_id", F.md5("body").alias("md5")))
+query("h3_digests", "SELECT blob_id, md5(body) AS md5, sha1(body) AS sha1 FROM payload", lambda s: s.payload.select("blob_id", F.md5("body").alias("md5"), F.sha1("body").alias("sha1")))
 query("h4_blocks", "SELECT blob_id, ((size + 511) // 512) * 512 AS aligned, ((size + 4095) // 4096) * 4096 AS padded, 1 + (size + 4095) // 4096 AS blocks FROM blob",
     lambda s: s.blob.select("blob_id", S.round_up(F.col("size"), 512).alias("aligned"), S.round_up(F.col("size"), 4096).alias("padded"), S.blob_blocks(F.col("size")).alias("blocks")))
 query("h5_routes", "SELECT printf('%04x:%012x:%016x', pg_id, seq, blob_id) AS route FROM blob", lambda s: s.blob.select(S.route(F.col("shard_id"), F.col("blob_id")).alias("route")))
@@ -306,11 +314,11 @@ query("b15_h8_group_records", "SELECT pg_id, m AS members, c AS chunks, pg_id <>
 query("b20_group_gauges", """, o AS (SELECT pg_id, count(*) FILTER (state = 0) AS open_shards FROM shard GROUP BY pg_id), b AS (SELECT pg_id, count(*) FILTER (is_tombstone) * 1000 // count(*) AS d FROM blob GROUP BY pg_id),
     c AS (SELECT pg_id, (sum(defrag_blks) * 1000 // sum(total_blks))::BIGINT AS g, (sum(used_blks) * 1000 // sum(total_blks))::BIGINT AS u FROM chunk GROUP BY pg_id)
     SELECT pg_id, open_shards, coalesce(d, 0) AS deleted_per_mille, g AS garbage_per_mille, u AS used_per_mille FROM o LEFT JOIN b USING (pg_id) LEFT JOIN c USING (pg_id)""", lambda s: statistics.group_gauges(s.shard, s.blob, s.chunk))
-query("e3_memory_stats", "SELECT pg_id, count(*) AS total_shards, count(*) FILTER (state = 0) AS open_shards FROM shard WHERE pg_id = 2 GROUP BY pg_id", lambda s: statistics.open_shards(s.shard.where("pg_id = 2")))
+query("e3_memory_stats", "SELECT pg_id, count(*) AS total_shards, count(*) FILTER (state = 0) AS open_shards FROM shard GROUP BY pg_id", lambda s: statistics.open_shards(s.shard))
 query("h9_shard_records", "SELECT shard_id, state, lsn FROM shard", lambda s: s.shard.select(F.from_json(F.to_json(F.struct("shard_id", "state", "lsn")), "shard_id bigint, state int, lsn bigint").alias("r")).select("r.*"))
-query("i6_export_messages", """, e AS (SELECT shard_id, row_number() OVER (ORDER BY chunk_id, lsn)::BIGINT AS position FROM shard WHERE pg_id = 1 AND lsn <= 900),
-    m AS (SELECT 0::BIGINT AS position, 0::BIGINT AS batch_id, 'group' AS kind UNION ALL SELECT position, 0, 'shard' FROM e UNION ALL SELECT DISTINCT position, 1, 'blobs' FROM e JOIN blob USING (shard_id) WHERE NOT is_tombstone)
-    SELECT *, (9223372036854775808::DECIMAL(20,0) + position * 32768 + batch_id)::VARCHAR AS message_id FROM m""", lambda s: snapshot.messages(snapshot.exported_shards(s.shard, 1, 900), snapshot.export_batches(s.blob, 1 << 40)))
+query("i6_export_messages", _EXPORTED + """, m AS (SELECT DISTINCT pg_id, 0::BIGINT AS position, 0::BIGINT AS batch_id, 'group' AS kind FROM exported UNION ALL SELECT pg_id, position, 0, 'shard' FROM exported
+        UNION ALL SELECT DISTINCT e.pg_id, position, 1, 'blobs' FROM exported e JOIN blob USING (shard_id) WHERE NOT is_tombstone)
+    SELECT *, (9223372036854775808::DECIMAL(20,0) + position * 32768 + batch_id)::VARCHAR AS message_id FROM m""", lambda s: snapshot.messages(_exported(s), snapshot.export_batches(s.blob, 1 << 40)))
 query("i9_prefetch_states", "SELECT blob_id, CASE WHEN blob_id % 7 <> 0 THEN 'NORMAL' ELSE 'CORRUPTED' END AS state FROM payload",
     lambda s: s.payload.select("blob_id", snapshot.prefetch_state(integrity.checksum(F.col("body")) == F.crc32("body") + (F.col("blob_id") % 7 == 0).cast("int")).alias("state")))
 query("i11_received_batches", """SELECT user_id AS shard_id, event_id % 4 AS batch_id, count(*) AS blobs, count(*) FILTER (event_id % 11 = 0) AS corrupted, CASE WHEN count(*) FILTER (event_id % 11 <> 0 AND event_id % 31 = 0) > 0 THEN 'FAILED' ELSE 'OK' END AS status FROM events GROUP BY 1, 2""",

@@ -27,6 +27,7 @@ def log_of(events: DataFrame) -> DataFrame:
         F.when(kind.isin("click", "purchase", "view"), "PUT_BLOB").when(kind == "error", "DEL_BLOB").otherwise("SEAL_SHARD").alias("msg_type"),
         (F.col("event_id") % 7 + 2).cast("int").alias("blk_count"),
         (F.col("event_id") % 97 == 0).alias("header_corrupted"),
+        (F.col("event_id") % 3).alias("blk_num"),
     )
 
 
@@ -110,7 +111,7 @@ class Store:
 
     @cached_property
     def chunk(self) -> DataFrame:
-        """Chunks with a shard: 500 blocks each, used by all blobs, garbage where those are deleted, in use while a shard is open."""
+        """Chunks with a shard: 2,000 blocks each, used by all blobs, garbage where those are deleted, in use while a shard is open."""
         from shardwise.operators.placement import chunk_table
 
         return chunk_table(self.shard, self.blob)
@@ -150,7 +151,7 @@ class Store:
             (F.col("p_size") % 7 != 0).alias("succeeded"),
             (F.col("p_size") * 40).cast("long").alias("used_from"),
             (F.col("p_size") * 25).cast("long").alias("used_to"),
-            (F.col("p_partkey") % 20).alias("job_id"),
+            (F.col("p_partkey") % 150).alias("job_id"),
         )
 
     def scratch(self) -> str:
@@ -190,7 +191,7 @@ chunk AS (
 oplog AS (
     SELECT event_id AS lsn, (user_id % 5 + 1)::INT AS pg_id, user_id AS shard_id, event_id % 60 AS blob_id,
            CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 'PUT_BLOB' WHEN event_type = 'error' THEN 'DEL_BLOB' ELSE 'SEAL_SHARD' END AS msg_type,
-           (event_id % 7 + 2)::INT AS blk_count, event_id % 97 = 0 AS header_corrupted FROM events),
+           (event_id % 7 + 2)::INT AS blk_count, event_id % 97 = 0 AS header_corrupted, event_id % 3 AS blk_num FROM events),
 payload AS (
     SELECT doc_id % 40 AS shard_id, doc_id AS blob_id, encode(text) AS body, source AS user_key, doc_id * 4096 AS object_off FROM documents),
 replica AS (
@@ -198,5 +199,5 @@ replica AS (
     FROM blob, (VALUES (0), (1), (2)) r(replica) WHERE NOT is_tombstone AND NOT (r.replica = 1 AND blob_id % 101 = 0)),
 task AS (
     SELECT p_partkey AS task_id, p_partkey * 7 % 150 AS chunk_id, p_partkey * 7 % 150 + 1000 AS to_chunk_id, CASE WHEN p_size % 2 = 0 THEN 'normal' ELSE 'emergent' END AS priority,
-           p_size % 7 <> 0 AS succeeded, (p_size * 40)::BIGINT AS used_from, (p_size * 25)::BIGINT AS used_to, p_partkey % 20 AS job_id FROM part)
+           p_size % 7 <> 0 AS succeeded, (p_size * 40)::BIGINT AS used_from, (p_size * 25)::BIGINT AS used_to, p_partkey % 150 AS job_id FROM part)
 """

@@ -46,11 +46,23 @@ def test_shard_ids_beyond_the_sign_bit(spark):
 
 def test_fold_keeps_tombstones(spark):
     rows = [(1, "DEL_BLOB"), (2, "PUT_BLOB"), (3, "DEL_BLOB"), (4, "PUT_BLOB"), (5, "DEL_BLOB")]
-    log = spark.createDataFrame([(n, 1, 9, 4, k, 3, False) for n, k in rows], "lsn long, pg_id int, shard_id long, blob_id long, msg_type string, blk_count int, header_corrupted boolean")
+    log = spark.createDataFrame([(n, 1, 9, 4, k, 3, False, n) for n, k in rows], "lsn long, pg_id int, shard_id long, blob_id long, msg_type string, blk_count int, header_corrupted boolean, blk_num long")
     r = oplog.fold_index(log).first()
     assert (r["put_lsn"], r["del_lsn"], r["is_tombstone"]) == (2, 3, True)
     assert [x["counted"] for x in oplog.delete_outcomes(log).orderBy("lsn").collect()] == [False, True, False]
-    assert [x["status"] for x in writes.put_commits(log).orderBy("lsn").collect()] == ["OK", "CONFLICT"]
+    assert [x["status"] for x in writes.put_commits(log).orderBy("lsn").collect()] == ["OK", "OK"]  # the second finds a deleted entry
+    taken = spark.createDataFrame([(n, 9, 4, "PUT_BLOB", False, a) for n, a in ((1, 7), (2, 7), (3, 8))], "lsn long, shard_id long, blob_id long, msg_type string, header_corrupted boolean, blk_num long")
+    assert [(x["status"], x["existed"]) for x in writes.put_commits(taken).orderBy("lsn").collect()] == [("OK", False), ("OK", True), ("CONFLICT", True)]
+
+
+def test_cursor_rule(spark):
+    """At batch 2 of shard 4, with shard 7 next."""
+    asked = [(0, 0), (0, 5), (4, 0), (4, 2), (4, 3), (4, 1), (4, 4), (7, 0), (7, 1), (5, 0), (9, 0)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(asked)], "k int, seq long, batch long").orderBy("k")
+    valid = snapshot.cursor_valid(F.lit(4), F.lit(2), F.lit(7), F.col("seq"), F.col("batch"))
+    assert [r[0] for r in df.select(valid).collect()] == [True, True, True, True, True, False, False, True, False, False, False]
+    none = snapshot.cursor_valid(F.lit(None).cast("int"), F.lit(0), F.lit(1), F.col("seq"), F.col("batch"))
+    assert [r[0] for r in df.select(none).collect()] == [s == 0 for s, _ in asked]
 
 
 def test_stream_folds_as_the_batch(spark, tmp_path):
@@ -104,9 +116,12 @@ def test_bins(spark):
 
 
 def test_snapshot_cut(spark):
-    shard = spark.createDataFrame([(1, n, n % 2, n) for n in range(1, 5)], "pg_id int, shard_id long, chunk_id long, lsn long")
-    assert snapshot.exported_shards(shard, 1, 3).count() == 3
-    assert snapshot.exported_shards(shard, 1, 0).count() == 0
+    shard = spark.createDataFrame([(g, 10 * g + n, n % 2, n, int(g == 2 or n != 4)) for g in (1, 2, 3) for n in range(1, 5)], "pg_id int, shard_id long, chunk_id long, lsn long, state int")
+    places = spark.createDataFrame([(g, c, 1 - c) for g in (1, 2, 3) for c in (0, 1)], "pg_id int, chunk_id long, v_chunk_id long")
+    assert {tuple(r) for r in snapshot.snapshot_cuts(shard).collect()} == {(1, 3), (2, 4), (3, 3)}
+    cuts = spark.createDataFrame([(1, 3), (2, 4), (3, 0)], "pg_id int, upto long")
+    got = {(r["pg_id"], r["position"]): r["shard_id"] for r in snapshot.exported_shards(shard, places, cuts).collect()}
+    assert got == {(1, 1): 11, (1, 2): 13, (1, 3): 12, (2, 1): 21, (2, 2): 23, (2, 3): 22, (2, 4): 24}
 
 
 def test_checksums(spark):
