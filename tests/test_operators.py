@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import os
 import zlib
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from shardwise.functions import scalars as S
 from shardwise.operators import compaction, integrity, oplog, placement, reads, snapshot, statistics, writes
 from shardwise.sources import files
-from shardwise.streaming.fold import fold_stream
+from shardwise.streaming.fold import fold_files, fold_stream
 
 CHUNKS = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 1), (2, 5, 2), (2, 6, 3), (3, 7, 1), (3, 8, 2), (3, 9, 3)]
 
@@ -85,6 +86,24 @@ def test_stream_folds_as_the_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_folds_in_any_order_without_python(spark, tmp_path):
+    """Each entry comes in a batch of its own, the last first; keys are folded by built-in functions."""
+    log = [(1, 7, 1, "DEL_BLOB", 5, False), (2, 7, 1, "PUT_BLOB", 3, False), (3, 7, 1, "DEL_BLOB", 5, False), (4, 7, 1, "PUT_BLOB", 4, False), (5, 7, 1, "DEL_BLOB", 5, False)]
+    log += [(6, 7, 2, "PUT_BLOB", 6, True), (7, 7, 2, "PUT_BLOB", 7, False), (8, 7, 3, "DEL_BLOB", 5, False), (9, None, 4, "PUT_BLOB", 8, False), (10, None, 4, "DEL_BLOB", 5, False)]
+    schema = "lsn long, shard_id long, blob_id long, msg_type string, blk_count int, header_corrupted boolean"
+    for n, row in enumerate(reversed(log)):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        part = max((tmp_path / "log").glob("*.parquet"), key=lambda f: f.stat().st_ctime_ns)
+        os.utime(part, (1_000_000 + n, 1_000_000 + n))
+    stream = files.stream_log(spark, str(tmp_path / "log"), schema)
+    assert "Pandas" not in fold_stream(stream)._jdf.queryExecution().logical().toString()
+    got = fold_files(spark, stream, str(tmp_path / "folded"))
+    columns = ["shard_id", "blob_id", "put_lsn", "del_lsn", "blk_count", "is_tombstone"]
+    want = oplog.fold_index(spark.createDataFrame([(*row, 1) for row in log], f"{schema}, pg_id int")).select(columns)
+    assert {tuple(r) for r in want.collect()} == {(7, 1, 2, 3, 3, True), (7, 2, 7, None, 7, False), (None, 4, 9, None, 8, False)}
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_statistics_of_a_group(spark):
     blob = spark.createDataFrame([(1, n, 2, n < 3) for n in range(10)], "pg_id int, blob_id long, blk_count long, is_tombstone boolean")
     stored = spark.createDataFrame([(1, 999, 888, 777)], "pg_id int, active long, dead long, occupied long")
