@@ -8,7 +8,9 @@ met (no segment nearer than r, no earlier segment at r), so rounds never repeat
 
 Scale: equal codes are one entry of the tables with their k smallest ids, which is all that a top-k with ties
 broken by id can use, so a code that a third of all rows share is one entry. Equal queries are searched once.
-Each round is a hash-partitioned join; the driver gets the number of unfinished queries.
+The planner takes listed probes for as few as the queries they come from, and tables for as small as their compressed
+files, so the joins of a round are told to be dealt by hash, and none is broadcast; the driver gets the number of
+unfinished queries.
 
 Defined results: ties in distance go to the smaller id; a query row is itself among the rows searched; a null
 vector, or one of another length than `bits`, has no code: it is never found, and as a query gives no rows; a null
@@ -71,13 +73,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, id_col:
         for j in range(segments):
             d = _at(F.col("query"), F.col("code"), j)
             useful &= (F.col("segment") == j) | F.when(F.col("segment") > j, d > radius).otherwise(d >= radius)
-        met = probe.join(index, ["segment", "value"]).where(useful).select("query", F.explode("ids").alias("id"), distance(F.col("query"), F.col("code"), segments).alias("distance"))
-        met = met if found is None else met.unionByName(found.join(active, "query", "left_semi"))
+        met = probe.hint("merge").join(index, ["segment", "value"]).where(useful).select("query", F.explode("ids").alias("id"), distance(F.col("query"), F.col("code"), segments).alias("distance"))
+        met = met if found is None else met.unionByName(found.hint("merge").join(active, "query", "left_semi"))
         found = tables.written(met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
         covered = segments * (radius + 1) - 1
         known = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") >= k).select("query", "kth")
-        state = tables.written(active.join(known, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("worst"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(radius == SEGMENT)).alias("finished")))
-        ended = found.join(state.where("finished").select("query"), "query", "left_semi")
+        state = tables.written(active.hint("merge").join(known, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("worst"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(radius == SEGMENT)).alias("finished")))
+        ended = found.hint("merge").join(state.where("finished").select("query"), "query", "left_semi")
         done = ended if done is None else done.unionByName(ended)
         active = state.where("NOT finished").select("query", "worst")
         if radius == SEGMENT or not active.take(1):

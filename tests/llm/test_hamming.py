@@ -28,3 +28,19 @@ def test_fewer_rows_than_k_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0] * 64), (1, [-1.0] * 64)], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in hamming.search(df, df.where("vec_id = 0"), k=5).collect()} == {(0, 1, 0, 0), (0, 2, 1, 64)}
     assert hamming.search(df.where("false"), df.where("false"), k=5).count() == 0
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """A query far from all others takes the radius to 8, whose 12,870 masks a segment value must not be sent to every task whole."""
+    plans, written = [], hamming.Tables.written
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(self, df)
+
+    monkeypatch.setattr(hamming.Tables, "written", noted)
+    rows = [(0, [-1.0] * 64)] + [(i, [1.0 if b % 16 >= 8 - i % 2 else -1.0 for b in range(64)]) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in hamming.search(df, df.where("vec_id = 0"), k=5).collect()}
+    assert got == brute(rows, [0], 5)
+    assert len(plans) > 16 and not any("Broadcast" in p for p in plans)
